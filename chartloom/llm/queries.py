@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, mixing, splitting
+from chartloom.llm import bpe, linking, mixing, splitting
 from chartloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,16 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, diagnoses = table(spark, sf_dir, "medical_events"), table(spark, sf_dir, "diagnoses")
+    # An event's two columns are read in one pass.
+    typed = events.select(F.explode(F.array("provider", "location")).alias("v")).unionAll(diagnoses.select("provider"))
+    return linking.link(typed, "v", table(spark, sf_dir, "directory"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "directory").select("entity_id", F.col("canonical_name").alias("spelling"))
+    return links(spark, sf_dir).join(own, ["entity_id", "spelling"], "left_anti")
