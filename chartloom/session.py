@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,25 @@ def local_session(cores: int | str = 8, app: str = "chartloom", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed for them."""
+    package = Path(__file__).resolve().parent
+    root, context = str(package.parent), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_chartloom_shipped", False):
+        return
+    if context.master.startswith("local["):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, context.environment.get("PYTHONPATH")]))
+    else:
+        archive = Path(tempfile.mkdtemp(), "chartloom_package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))  # Spark copies it to every executor
+    context._chartloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
