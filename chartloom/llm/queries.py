@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, linking, mixing, splitting
+from chartloom.llm import bpe, linking, mixing, near_dup, splitting
 from chartloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,15 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "directory").select("entity_id", F.col("canonical_name").alias("spelling"))
     return links(spark, sf_dir).join(own, ["entity_id", "spelling"], "left_anti")
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_dup.near_duplicates(table(spark, sf_dir, "medical_events"), table(spark, sf_dir, "directory"), "event_id", "date", "provider", "description")
+    return pairs.toDF("event_id_a", "event_id_b")
+
+
+@query()
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p2_found(spark, sf_dir).toDF("a", "b")
+    return near_dup.groups(table(spark, sf_dir, "medical_events"), "event_id", pairs)
