@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, linking, mixing, near_dup, splitting
+from chartloom.llm import bpe, deidentify, linking, mixing, near_dup, splitting
 from chartloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = p2_found(spark, sf_dir).toDF("a", "b")
     return near_dup.groups(table(spark, sf_dir, "medical_events"), "event_id", pairs)
+
+
+#: Secret of the surrogates in the queries below; a user passes their own.
+SURROGATE_KEY = b"chartloom surrogates"
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> deidentify.Tables:
+    events, claimants = table(spark, sf_dir, "medical_events"), table(spark, sf_dir, "claimants")
+    field = lambda name: F.struct(F.lit(name).alias("field"), F.col(name).alias("text"))
+    notes = events.select(F.col("event_id").alias("record_id"), F.explode(F.array(field("source_text"), field("description"))).alias("f")).select("f.field", "record_id", "f.text")
+    texts = notes.unionByName(claimants.select(F.lit("ssn").alias("field"), F.col("claimant_id").alias("record_id"), F.col("ssn").alias("text")))
+    people = table(spark, sf_dir, "directory").where("kind = 'person'").select("canonical_name")
+    return deidentify.deidentify(texts, deidentify.learned([claimants.select("full_name"), people]), SURROGATE_KEY)
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deidentify.items(_personal(spark, sf_dir)).select("field", "record_id", "kind", "start_char")
+
+
+@query()
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deidentify.replaced(_personal(spark, sf_dir))
