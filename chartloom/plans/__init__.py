@@ -1,0 +1 @@
+"""Operators chained into whole runs."""

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from chartloom.functions import citations as cite
 from chartloom.functions import dates, text
 from chartloom.operators import chronology, chunks, citations, entries, longitudinal, repair, segments
+from chartloom.plans import chronology as plan
 from chartloom.queries import query
 from chartloom.session import table
+from chartloom.sources.providers import RuleProvider
+from chartloom.streaming import events as stream_events
 
 # Rows that were delivered again are one record.
 TOC = "(SELECT DISTINCT bookmark_id, case_id, ord, level, title, page_start, page_end FROM toc)"
@@ -532,3 +535,40 @@ def job_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
 
 
+
+
+# ---------------------------------------------------------------- windows and whole runs
+
+
+def _events_at(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream_events.windowed(_events_at(spark, d), "ts", ["event_type"], "1 hour")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 6).alias("total"))
+
+
+@query("SELECT s AS start, event_type, count(*) AS events FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream_events.windowed(_events_at(spark, d), "ts", ["event_type"], "2 hours", "1 hour")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events),
+    s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, k"""
+)
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream_events.sessions(_events_at(spark, d), "ts", ["user_id"], "30 minutes")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
+
+
+@query()
+def chronology_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run over the bookmarks, with an event's source text as the text of its page."""
+    pages = event_rows(spark, d, "case_id", "source_page", "source_text").where("source_page IS NOT NULL").groupBy("case_id", F.col("source_page").alias("page")).agg(F.min("source_text").alias("text"))
+    dated = pages.withColumn("text", F.concat(F.lit("Seen on 01/15/2024. "), "text"))
+    counts = table(spark, d, "claimants").groupBy("case_id").agg(F.max("total_document_pages").alias("total_pages"))
+    return plan.run(toc_rows(spark, d).where("page_start IS NOT NULL"), counts, dated, RuleProvider(), plan.Options(calls_per_minute=None))
