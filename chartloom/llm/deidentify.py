@@ -218,6 +218,9 @@ def find_typed(value: str | None) -> list[Item]:
 FEMALE = frozenset("abigail amara deborah eleanor elizabeth florence frances guadalupe hana harriet imani ingrid irene jacqueline jennifer judith katherine lucia margaret patricia priya rebecca susan thandi uma vera victoria ximena yara zeynep mary linda barbara maria nancy karen lisa sandra ana carmen rosa".split())
 MALE = frozenset("alexander andrew anthony benjamin charles christopher daniel dmitri edward francisco gerald gideon gregory henry james joseph kofi lawrence leonard mateo matthew michael nathaniel oluwa owen pavel philip quentin raymond richard robert samuel soren steven theodore thomas timothy william john david jose juan carlos luis paul mark".split())
 
+#: Digits up to which a number is permuted among those of its length.
+SHORT_NUMBER = 5
+
 _ONSETS = "b br c cl d dr f fl g gr h j k l m n p pl r s sh st t tr v w y z".split()
 _NUCLEI = "a e i o u ai ea io".split()
 _CODAS = "l m n r s nd rt ll".split()
@@ -238,6 +241,11 @@ def _syllables(n: int, count: int) -> str:
 
 def surrogate(key: bytes, kind: str, item: str, attempt: int) -> str:
     """A replacement of the kind's type in plain form: digits for digits, a name of the same gender for a name."""
+    if item.isdigit() and len(item) <= SHORT_NUMBER:
+        # Few numbers have so few digits, so they are permuted: distinct ones stay distinct without drawing again.
+        size, draw = 10 ** len(item), _stream(key, kind, str(len(item)))
+        step = draw % size // 10 * 10 + (1, 3, 7, 9)[draw >> 64 & 3]
+        return str((step * int(item) + (draw >> 80)) % size).zfill(len(item))
     n = _stream(key, kind, item, str(attempt))
     if kind == "given":
         if len(item) == 1:
@@ -353,7 +361,8 @@ def assign(wanted: DataFrame, key: bytes) -> DataFrame:
 
     Every part draws a surrogate from its keyed hash. Where two parts drew the same, or one drew a part
     that is real, all but the first draw again with the next attempt's hash; the rounds end when a check
-    of all surrogates finds no collision. Single letters (initials) may share a surrogate: there are only 26.
+    of all surrogates finds no collision. Single letters (initials) may share a surrogate: there are only
+    26. Numbers of up to SHORT_NUMBER digits are permuted, so they can't collide, but may become a real one.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +378,7 @@ def assign(wanted: DataFrame, key: bytes) -> DataFrame:
     drawn = cut(distinct.select("part_kind", "item", F.lit(0).alias("attempt")).mapInArrow(draw, schema))
     while True:
         checked = drawn.join(real, (F.col("part_kind") == F.col("_k")) & (drawn["surrogate"] == real["surrogate"]), "left").select("part_kind", "item", "attempt", drawn["surrogate"], F.coalesce("_real", F.lit(False)).alias("_real"))
-        checked = cut(checked.withColumn("_n", F.row_number().over(order)).withColumn("_again", (F.length("item") > 1) & ((F.col("_n") > 1) | F.col("_real"))).select("part_kind", "item", "attempt", "surrogate", "_again"))
+        checked = cut(checked.withColumn("_n", F.row_number().over(order)).withColumn("_again", (F.length("item") > 1) & ~F.col("item").rlike(f"^\\d{{1,{SHORT_NUMBER}}}$") & ((F.col("_n") > 1) | F.col("_real"))).select("part_kind", "item", "attempt", "surrogate", "_again"))
         if checked.where("_again").isEmpty():
             return checked.select("part_kind", "item", "surrogate")
         again = checked.where("_again").select("part_kind", "item", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
