@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, deidentify, linking, mixing, near_dup, splitting
+from chartloom.llm import bpe, deidentify, linking, mixing, near_dup, splitting, truncation
 from chartloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deidentify.replaced(_personal(spark, sf_dir))
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).where("truncated").select("doc_id")
+
+
+@query()
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(_truncated(spark, sf_dir), "source")
