@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,34 +37,86 @@ FILTER_BITS = 22
 #: Runs counted in a worker before they are handed on.
 HELD_RUNS = 1_500_000
 
-#: What sources put behind a cut.
-MARK = re.compile(r"(?:\s|�|…|\.{3,}|[\[(<]\s?(?:truncated|cut(?: off)?|continued|cont(?:'d|\.)?|more|snip|\.\.\.|…)\s?[\])>])+\Z", re.IGNORECASE)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?]\x1e|[^\w\s]").findall
-_STOP = re.compile(r"(?<=[.!?])(?=\s)")
+#: What sources put behind a cut, besides ellipses and replacement characters.
+MARK = re.compile(r"[\[(<]\s?(?:truncated|cut(?: off)?|continued|cont(?:'d|\.)?|more|snip|\.\.\.|…)\s?[\])>]\Z", re.IGNORECASE)
+#: Stands before each line twice, so that a run of three at its beginning is one of that line alone.
+_BEGIN = "\x02"
+_TOKEN = re.compile(r"[^\W\d_]+|9+|[.!?]\x1e|\n|[^\w\s]").findall
+_ASCII_TOKEN = re.compile(r"[a-z]+|9+|[.!?]\x1e|\n|[^\w\s]").findall
 _COMBINING = re.compile(r"[̀-ͯﬀ-ﬆ]")
+_DECIMALS = re.compile(r"\d")
+_MASK = (1 << 64) - 1
 
 
 def base(text: str) -> tuple[str, bool]:
     """The text without what follows its last sign, and whether that marks a cut."""
-    m = MARK.search(text)
-    if not m:
-        return text, False
-    return text[: m.start()], bool(m[0].strip())
+    rest, marked = text, False
+    while True:
+        plain = rest.rstrip()
+        bare = plain.rstrip("�…")
+        if bare.endswith("..."):
+            bare = bare.rstrip(".")
+        elif bare[-1:] in ("]", ")", ">") and (m := MARK.search(bare[-20:])):
+            bare = bare[: len(bare) - len(m[0])]
+        if bare == rest:
+            return rest, marked
+        rest, marked = bare, marked or bare != plain
+
+
+def _prepared(text: str) -> str:
+    """Lower case, numbers by their shape, full stops before white space told from those within numbers."""
+    text = text.lower()
+    if not text.isascii() and _COMBINING.search(text):
+        text = unicodedata.normalize("NFKC", text)
+    text = _DECIMALS.sub("9", text.replace(_BEGIN, " ")) + "\n"
+    for stop in ".!?":
+        if stop in text:
+            for space in " \n\r\t":
+                text = text.replace(stop + space, stop + "\x1e" + space)
+    return text
 
 
 def tokens(line: str) -> list[str]:
-    """Words, numbers by their shape and signs; a full stop before white space is told from one within a number."""
-    if not line.isascii() and _COMBINING.search(line):
-        line = unicodedata.normalize("NFKC", line)
-    return _TOKEN(_STOP.sub("\x1e", re.sub(r"\d", "9", line.lower()) + "\n"))
+    """Words, numbers and signs of a line."""
+    return _split(_prepared(line))[:-1]
 
 
-def key(run: tuple[str, ...]) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(run).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def _split(prepared: str) -> list[str]:
+    return _ASCII_TOKEN(prepared) if prepared.isascii() else _TOKEN(prepared)
 
 
-def _opening(line: list[str]) -> int:
-    return key(("^", *line[:2], "^"))
+class _Hashes(dict):
+    """64 bit hashes of tokens, the same in every worker."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        self[token] = h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return h
+
+
+_hashes = _Hashes()
+_END, _START = _hashes["\n"], _hashes[_BEGIN]
+
+
+def mixed(*hashes):
+    """One key of several hashes, of numbers or of arrays of them."""
+    array = isinstance(hashes[0], np.ndarray)
+    odd, k = 0x9E3779B97F4A7C15, 0xCBF29CE484222325 + len(hashes)
+    if array:
+        k = np.full(len(hashes[0]), k, np.uint64)
+        for h in hashes:
+            k = (k ^ h) * np.uint64(odd)
+            k ^= k >> np.uint64(29)
+        return k
+    for h in hashes:
+        k = ((k ^ h) * odd) & _MASK
+        k ^= k >> 29
+    return k
+
+
+def _signed(k: int) -> int:
+    return k - (1 << 64) if k >> 63 else k
 
 
 def ending(text: str) -> tuple[bool, str, int, list[int], int | None] | None:
@@ -76,68 +128,91 @@ def ending(text: str) -> tuple[bool, str, int, list[int], int | None] | None:
     last = tokens(rest[rest.rfind("\n") + 1 :])
     if not last:
         return None
-    run = ["^", "^", *last][-3:]
-    alt = None
-    if run[-1] == ".\x1e" and run[-2].isdigit():
-        alt = key((run[0], run[1], "."))
-    return marked, last[-1], len(last), [key((run[2],)), key((run[1], run[2])), key(tuple(run)), _opening(last)], alt
+    a, b, c = (_hashes[t] for t in [_BEGIN, _BEGIN, *last][-3:])
+    alt = _signed(mixed(a, b, _hashes["."])) if last[-1] == ".\x1e" and len(last) > 1 and last[-2][0] == "9" else None
+    opening = mixed(_START, _hashes[last[0]], _hashes[last[1]] if len(last) > 1 else _END, _START)
+    return marked, last[-1], len(last), [_signed(k) for k in (mixed(c), mixed(b, c), mixed(a, b, c), opening)], alt
+
+
+class _Tally:
+    """Keys with three counts each, merged as they come."""
+
+    def __init__(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.counts = np.empty((3, 0), np.int64)
+        self.new: list[tuple[np.ndarray, int]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, which: int) -> None:
+        self.new.append((keys, which))
+        self.held += len(keys)
+        if self.held > HELD_RUNS:
+            self.merge()
+
+    def merge(self) -> None:
+        arrays = [self.keys, *(k for k, _ in self.new)]
+        keys, place = np.unique(np.concatenate(arrays), return_inverse=True)
+        counts = np.zeros((3, len(keys)), np.int64)
+        at = len(self.keys)
+        for i in range(3):
+            counts[i] += np.bincount(place[:at], self.counts[i], len(keys)).astype(np.int64)
+        for k, which in self.new:
+            counts[which] += np.bincount(place[at : at + len(k)], minlength=len(keys))
+            at += len(k)
+        self.keys, self.counts, self.new, self.held = keys, counts, [], 0
 
 
 def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Occurrences of words (kind 1), of runs of two and three tokens that the filter may hold, how many of
-    them end a line or sentence, and how many words a full stop follows; lines by their beginning (kind 4), and how many of them are short."""
-    all_: list[Counter] = [Counter(), Counter(), Counter()]
-    ends: list[Counter] = [Counter(), Counter(), Counter()]
-    lines, short = Counter(), Counter()
-
-    def rows() -> pa.RecordBatch:
-        kinds, keys, words, n, e, stops = [], [], [], [], [], []
-        stopped: Counter = Counter()
-        for (before, after), count in all_[1].items():
-            if after.endswith("\x1e"):
-                stopped[before] += count
-        for order in range(3):
-            for run, count in all_[order].items():
-                run = run if order else (run,)
-                k = key(run)
-                if order == 0 or bits[(k & ((1 << FILTER_BITS) - 1)) >> 6] >> np.uint64(k & 63) & np.uint64(1):
-                    kinds.append(order + 1)
-                    keys.append(k)
-                    words.append(run[0] if order == 0 else None)
-                    n.append(count)
-                    e.append(count if run[-1].endswith("\x1e") else ends[order].get(run if order else run[0], 0))
-                    stops.append(0 if order else stopped[run[0]])
-        for k, count in lines.items():
-            kinds.append(4)
-            keys.append(k)
-            words.append(None)
-            n.append(count)
-            e.append(short[k])
-            stops.append(0)
-        for c in (*all_, *ends, lines, short):
-            c.clear()
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(e, pa.int64()), pa.array(stops, pa.int64())], names=["kind", "key", "word", "n", "ends", "stops"])
+    them end a line or sentence, and how many words a full stop follows; lines by their beginning (kind 4),
+    and how many of them are short."""
+    tallies = {kind: _Tally() for kind in (1, 2, 3, 4)}
+    spelled: dict[int, str] = {}
+    stop_hashes = np.array([_hashes[s + "\x1e"] for s in ".!?"], np.uint64)
+
+    def asked(k: np.ndarray) -> np.ndarray:
+        return (bits[(k & np.uint64((1 << FILTER_BITS) - 1)) >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def count(texts: list[str]) -> None:
+        parts = [_split(f"{_BEGIN}{_BEGIN}" + _prepared(base(t)[0]).replace("\n", f"\n{_BEGIN}{_BEGIN}")) for t in texts]
+        flat = list(itertools.chain.from_iterable(parts))
+        h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
+        for token in set(flat):
+            spelled.setdefault(mixed(_hashes[token]), token)
+        new_line = h == np.uint64(_END)
+        at = np.nonzero(~new_line & (h != np.uint64(_START)))[0]
+        if not len(at):
+            return
+        stop = (h == stop_hashes[0]) | (h == stop_hashes[1]) | (h == stop_hashes[2])
+        last = new_line[at + 1] | stop[at]
+        one = mixed(h[at])
+        tallies[1].add(one, 0)
+        tallies[1].add(one[last], 1)
+        tallies[1].add(one[stop[at + 1]], 2)
+        for kind, k in ((2, mixed(h[at - 1], h[at])), (3, mixed(h[at - 2], h[at - 1], h[at]))):
+            wanted = asked(k)
+            tallies[kind].add(k[wanted], 0)
+            tallies[kind].add(k[wanted & last], 1)
+        ends = np.nonzero(new_line)[0]
+        begins = np.concatenate([[2], ends[:-1] + 3])
+        full = ends > begins
+        begins, sizes = begins[full], (ends - begins)[full]
+        k = mixed(np.full(len(begins), _START, np.uint64), h[begins], h[begins + 1], np.full(len(begins), _START, np.uint64))
+        wanted = asked(k)
+        tallies[4].add(k[wanted], 0)
+        tallies[4].add(k[wanted & (sizes <= ITEM_WORDS)], 1)
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for line in base(text)[0].split("\n"):
-                t = tokens(line)
-                if not t:
-                    continue
-                padded = ["^", "^", *t]
-                all_[0].update(t)
-                all_[1].update(zip(padded[1:], t))
-                all_[2].update(zip(padded, padded[1:], t))
-                ends[0][t[-1]] += 1
-                ends[1][padded[-2], t[-1]] += 1
-                ends[2][padded[-3], padded[-2], t[-1]] += 1
-                begun = _opening(t)
-                lines[begun] += 1
-                if len(t) <= ITEM_WORDS:
-                    short[begun] += 1
-        if sum(map(len, all_)) > HELD_RUNS:
-            yield rows()
-    yield rows()
+        texts = batch.column(0).to_pylist()
+        for i in range(0, len(texts), 256):
+            count(texts[i : i + 256])
+    for kind, tally in tallies.items():
+        tally.merge()
+        for i in range(0, len(tally.keys), 50_000):
+            part = slice(i, i + 50_000)
+            words = [spelled[k] for k in tally.keys[part].tolist()] if kind == 1 else [None] * len(tally.keys[part])
+            columns = [pa.array(c[part]) for c in tally.counts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, np.int32)), pa.array(tally.keys[part].view(np.int64)), pa.array(words, pa.string()), *columns], names=["kind", "key", "word", "n", "ends", "stops"])
 
 
 def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
