@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import citations as cite
 from chartloom.functions import dates, text
-from chartloom.operators import chronology, chunks, citations, entries, longitudinal, repair, segments
+from chartloom.operators import chronology, chunks, citations, entries, longitudinal, occurrences, repair, segments
 from chartloom.plans import chronology as plan
+from chartloom.plans import report
 from chartloom.queries import query
 from chartloom.session import table
 from chartloom.sources.providers import RuleProvider
@@ -572,3 +573,26 @@ def chronology_pipeline(spark: SparkSession, d: str) -> DataFrame:
     dated = pages.withColumn("text", F.concat(F.lit("Seen on 01/15/2024. "), "text"))
     counts = table(spark, d, "claimants").groupBy("case_id").agg(F.max("total_document_pages").alias("total_pages"))
     return plan.run(toc_rows(spark, d).where("page_start IS NOT NULL"), counts, dated, RuleProvider(), plan.Options(calls_per_minute=None))
+
+
+@query(
+    f"""WITH n AS (SELECT case_id, 0 AS section, count(*) AS lines FROM (SELECT DISTINCT claimant_id, case_id FROM claimants) GROUP BY case_id UNION ALL SELECT case_id, 3, count(*) FROM {DX} GROUP BY case_id
+        UNION ALL SELECT case_id, 11, count(*) FROM ({_CHRON}) GROUP BY case_id)
+    SELECT c.case_id, s::INT AS section, coalesce(lines, 0)::INT AS lines FROM (SELECT DISTINCT case_id, unnest(range(12)) AS s FROM claimants) c LEFT JOIN n ON n.case_id = c.case_id AND n.section = c.s"""
+)
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    claimants = table(spark, d, "claimants").select("claimant_id", "case_id", "full_name", "ssn", "date_of_birth", "bnc_code", "case_file_reference", "total_document_pages").distinct()
+    impairments = table(spark, d, "diagnoses").select("diagnosis_id", "case_id", "diagnosis", "icd_code", "first_diagnosed", "provider").distinct()
+    made = report.ReportBuilder(claimants).claimants(claimants).impairments(impairments).chronology(chronology_rows(spark, d))
+    return made.sections().select("case_id", "section", "lines")
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN coalesce(description, '') = '' THEN '**[Review Required]** Content could not be extracted.' ELSE '**General CE**<br>**History:** ' || CASE WHEN length(description) > 300 THEN left(description, 300) || '...' ELSE description END
+        || '<br>**Physical Exam:** Gait: steady; ROM: full' END AS shown FROM {EVENTS}"""
+)
+def consultative_render(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_rows(spark, d, "description")
+    findings = F.when(F.coalesce("description", F.lit("")) != "", F.lit('{"range_of_motion": "full", "gait_ambulation": "steady", "other": "x"}'))
+    occurrence = F.create_map(F.lit("visit_type"), F.lit("consultative_exam"), F.lit("history_of_complaint"), F.col("description"), F.lit("physical_findings"), findings)
+    return rows.select("event_id", occurrences.occurrence_text(F.lit("consultative_exam"), occurrence).alias("shown"))

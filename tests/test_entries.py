@@ -51,3 +51,23 @@ def test_visit_types(spark):
     assert [r[0] for r in df.select(entries.visit_types_of(F.col("t"))).collect()] == [["imaging_report", "office_visit"], ["office_visit"], ["office_visit"]]
     occurrence = spark.createDataFrame([({"test": "x"},), ({"test": "[]", "therapy_type": "pt"},), ({},)], "o MAP<STRING,STRING>")
     assert [r[0] for r in occurrence.select(entries.inferred_visit_type(F.col("o"))).collect()] == ["lab_result", "therapy_eval", "office_visit"]
+
+
+def test_occurrences_of_nested_visits(spark):
+    import json
+
+    from chartloom.operators import occurrences
+
+    said = [
+        ("consultative_exam", {"ce_type": "Psych", "examiner_specialty": "neuro", "diagnostic_impression": ["a", "b"], "mental_findings": {"mood_affect": "flat"}, "prognosis": "fair", "extra": "y" * 250}),
+        ("psych_visit", {"mental_status_exam": "calm", "plan": "z" * 200}),
+        (None, {"test_name": "cbc"}),
+        ("office_visit", {"visit_type": "x"}),
+        ("office_visit", None),
+    ]
+    df = spark.createDataFrame([(v, json.dumps(o) if o is not None else None) for v, o in said], "v STRING, o STRING").withColumn("o", F.from_json("o", "map<string,string>"))
+    got = [r[0] for r in df.select(occurrences.occurrence_text(F.col("v"), F.col("o"), F.lit("raw\ntext"))).collect()]
+    assert got[0] == "**Psych CE** (neuro)<br>**MSE:** Mood/Affect: flat<br>**Impression:** a; b<br>**Prognosis:** fair<br>**Extra:** " + "y" * 200 + "..."
+    assert got[1] == "**MSE:** calm<br>**Plan:** " + "z" * 150 + "..."
+    assert got[2] == "**Test Name:** cbc"
+    assert got[3] == got[4] == "**[Review Required]** Content extraction incomplete.<br>**Raw snippet:** raw text..."

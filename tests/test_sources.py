@@ -76,3 +76,21 @@ def test_whole_run(spark):
     rows = plan.run(toc, counts, text, providers.RuleProvider(), plan.Options(calls_per_minute=None)).orderBy("date").collect()
     assert [(str(r.date), r.source) for r in rows] == [("2024-01-15", "1F@1 (p.1)"), ("2024-02-20", "1F@2 (p.2)")]
     assert "low back pain" in rows[0].occurrence
+
+
+def test_report(spark, tmp_path):
+    import datetime as dt
+
+    from chartloom.plans import report
+
+    people = spark.createDataFrame([("c", "A|B", "123-45-6789", None, None, "r", 3), ("d", "X", None, dt.datetime(1970, 1, 2), "b", "r", 1)], "case_id STRING, full_name STRING, ssn STRING, date_of_birth TIMESTAMP, bnc_code STRING, case_file_reference STRING, total_document_pages INT")
+    seen = spark.createDataFrame([("c", 2, dt.date(2024, 1, 1), "p", "f", "late", "s"), ("c", 1, dt.date(2024, 1, 1), "p", "f", "early", "s"), ("c", 9, dt.date(1960, 1, 1), "p", "f", "first", "s")], "case_id STRING, seq INT, date DATE, provider STRING, facility STRING, occurrence STRING, source STRING")
+    made = report.ReportBuilder(people).claimants(people).chronology(seen)
+    text = {r.case_id: r.report for r in made.markdown().collect()}
+    assert text["c"].index("first") < text["c"].index("early") < text["c"].index("late")
+    assert "| A\\|B | XXX-XX-6789 |  | N/A | r | 3 |" in text["c"] and "| 01/02/1970 |" in text["d"]
+    assert "| No medical events documented | N/A | N/A | N/A | N/A |" in text["d"] and text["c"].count("## SECTION") == 12
+    assert len(json.loads(made.json().first().report)["sections"]) == 12
+    report.write_reports(made.markdown(), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).select("case_id").distinct().count() == 2
+    assert report.ReportBuilder(people).sections().where("lines > 0").count() == 0
