@@ -48,7 +48,7 @@ _STREET = rf"(?<![\w.,/#-]){_HOUSE}\s+(?:[NSEW]{{1,2}}\.?\s+)?{_NAME_CAPS}(?:\s+
 _BOX = r"(?<![\w.])(?i:p\.?\s?o\.?\s?box|post\s+office\s+box|box)\s+(?:no\.?\s+|number\s+|#\s?)?\d[\dO]*"
 _ROUTE = r"(?<![\w.])(?i:r\.?\s?r\.?|r\.?\s?f\.?\s?d\.?|h\.?c\.?|rural\s+route|star\s+route|route|rt\.?)\s+(?:no\.?\s+|#\s?)?\d+[A-Za-z]?,?\s+(?i:box)\s+\d[\dO]*"
 _CITY = r"(?:,?\s+(?:(?i:apt|unit|suite|ste|#)\.?\s?\w+,?\s+)?[A-ZÀ-Ý][\w'’-]+(?:\s[A-ZÀ-Ý][\w'’-]+)?,?\s+[A-Z]{2}(?:\s+\d{5}(?:-\d{4})?)?\b)?"
-ADDRESS = re.compile(rf"(?:{_ROUTE}|{_BOX}|{_STREET}\.?){_CITY}")
+ADDRESS = re.compile(rf"(?:{_ROUTE}|{_BOX}|{_STREET}(?:\.(?=,))?){_CITY}")
 _PLACES = frozenset(STREETS.split("|")) | {"box"}
 _SPOKEN = re.compile(r"[a-z]+").findall
 #: What any number has that identifies a person: digits and separators in a row.
