@@ -34,24 +34,33 @@ def combined_sources(rows: DataFrame, keys: list[str], source: str, into: str =
     return summed.select(*keys, F.when(F.col("_n") == 1, F.col("_one")).otherwise(joined).alias(into))
 
 
+def combined(sources: Column) -> Column:
+    """The same for an array of sources: one text."""
+    at = r"^(\d+F)@(\d+)"
+    distinct = F.array_sort(F.array_distinct(F.array_compact(sources)))
+    exhibit = lambda x: F.regexp_extract(x, at, 1)
+
+    def summed(all_: Column) -> Column:
+        parsed = F.filter(all_, lambda x: exhibit(x) != "")
+        pages = lambda ex: F.transform(F.filter(parsed, lambda x: exhibit(x) == ex), lambda x: F.regexp_extract(x, at, 2).try_cast("bigint"))
+        ranged = lambda ex: F.concat(ex, F.lit("@"), F.array_min(pages(ex)).cast("string"), F.when(F.array_min(pages(ex)) < F.array_max(pages(ex)), F.concat(F.lit("-"), F.array_max(pages(ex)).cast("string"))).otherwise(""))
+        ranges = F.transform(F.array_sort(F.array_distinct(F.transform(parsed, exhibit))), ranged)
+        return F.when(F.size(all_) == 0, F.lit(None)).when(F.size(all_) == 1, F.element_at(all_, 1)).when(F.size(ranges) > 0, F.array_join(ranges, ", ")).otherwise(F.array_join(all_, ", "))
+
+    return F.element_at(F.transform(F.array(distinct), summed), 1)
+
+
 def with_lab_panels(rows: DataFrame, scope: list[str]) -> DataFrame:
     """Lab results of one date, provider and facility as one row: texts joined in order, sources combined,
-    the citation that of the first. Others, and single results, stay as they are.
+    the place in the order that of the first. Others, and single results, stay as they are.
 
     Rows need seq, date, provider, facility, occurrence and source.
     """
     keys = [*scope, "date", "provider", "facility"]
     lab = F.coalesce(F.lower("occurrence").contains(LAB_MARK), F.lit(False))
-    labs, others = rows.where(lab), rows.where(~lab)
-    panels = labs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "occurrence"))).alias("_all"), F.min("seq").alias("seq"))
-    texts = panels.select(*keys, "seq", F.array_join(F.transform("_all", lambda x: x["occurrence"]), "<br><br>").alias("occurrence"))
-    sources = combined_sources(labs, keys, "source", "source")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    renamed = sources.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "source")
-    joined = texts.join(renamed, same, "left").select(*keys, "seq", "occurrence", "source")
-    return others.select(*joined.columns).unionByName(joined)
+    panels = rows.where(lab).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "occurrence"))).alias("_all"), F.min("seq").alias("seq"), F.collect_set("source").alias("_sources"))
+    joined = panels.select(*keys, "seq", F.array_join(F.transform("_all", lambda x: x["occurrence"]), "<br><br>").alias("occurrence"), combined(F.col("_sources")).alias("source"))
+    return rows.where(~lab).select(*joined.columns).unionByName(joined)
 
 
 def deduplicated(rows: DataFrame, scope: list[str]) -> DataFrame:

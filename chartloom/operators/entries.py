@@ -32,14 +32,18 @@ FALLBACK_FIELDS = ("chief_complaint", "findings", "assessment", "assessment_diag
 
 def visit_types_of(text: Column) -> Column:
     """Sorted array of all kinds of visits that a text may tell of; always with the fallback."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    kinds = []
-    for kind, said in VISIT_WORDS.items():
-        holds = F.lit(False)
-        for word in said:
-            holds = holds | low.contains(word)
-        kinds.append(F.when(holds, kind))
-    return F.array_sort(F.array_compact(F.array(*kinds, F.lit(DEFAULT_VISIT))))
+
+    def told(low: Column) -> Column:
+        kinds = []
+        for kind, said in VISIT_WORDS.items():
+            holds = F.lit(False)
+            for word in said:
+                holds = holds | low.contains(word)
+            kinds.append(F.when(holds, kind))
+        return F.array_sort(F.array_compact(F.array(*kinds, F.lit(DEFAULT_VISIT))))
+
+    # Bound by a lambda, the text is put into lower case once and not once a word.
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), told), 1)
 
 
 def inferred_visit_type(occurrence: Column) -> Column:
