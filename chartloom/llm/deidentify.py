@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from chartloom.llm import names
 from chartloom.session import cut
 
-#: Most names that the lexicon learns from; it goes to every worker.
-MAX_NAMES = 2_000_000
+#: Names that the lexicon is fitted on, at most: a bounded sample, as it goes to every worker. Of more distinct names
+#: those of the least hashes are taken, which is the same choice in every run.
+MAX_NAMES = 200_000
 
 _D = r"[\dOoIl]"
 
@@ -316,15 +317,13 @@ class Tables:
 PARTS = "ARRAY<STRUCT<part_kind: STRING, item: STRING, start: INT, end: INT>>"
 
 
-def learned(lists: list[DataFrame]) -> Lexicon:
-    """A lexicon of all names in one-column tables."""
+def learned(lists: list[DataFrame], most: int = MAX_NAMES) -> Lexicon:
+    """A lexicon of the names in one-column tables, of ``most`` of them where there are more."""
     rows = lists[0]
     for more in lists[1:]:
         rows = rows.unionAll(more)
-    full = [r[0] for r in rows.toDF("n").where("n IS NOT NULL").distinct().limit(MAX_NAMES + 1).collect()]
-    if len(full) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
-    return Lexicon.of(full)
+    sample = rows.toDF("n").where("n IS NOT NULL").distinct().orderBy(F.xxhash64("n"), "n").limit(most)
+    return Lexicon.of([r[0] for r in sample.collect()])
 
 
 def detect(texts: DataFrame, lexicon: Lexicon, typed: tuple[str, ...] = ("ssn",)) -> DataFrame:

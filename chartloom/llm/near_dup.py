@@ -350,6 +350,21 @@ def near_duplicates(events: DataFrame, directory: DataFrame, key: str, date: str
     return grown.select("a", "b").unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def near_duplicate_groups(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str, crowded: int = CROWDED) -> DataFrame:
+    """(key, group_id) of every record: the least key among those that pairs of near_duplicates connect it with.
+
+    Works on classes: copies, however many, are never expanded into pairs. Records without a full date or words
+    are groups of their own; null keys are left out; repeated keys count once.
+    """
+    reps, members = representatives(events, key, date, provider, description)
+    reps = cut(reps)
+    labels = groups(reps, "id", class_pairs(reps.select("id", "day", "provider", "description"), directory, crowded))
+    by_class = reps.select("class", "id").join(labels, "id").select("class", "group_id")
+    grouped = members.distinct().join(by_class, "class").groupBy("key").agg(F.min("group_id").alias("group_id"))
+    all_ = events.select(F.col(f"`{key}`").cast("long").alias("_key")).where("_key IS NOT NULL").distinct()
+    return all_.join(grouped, F.col("_key") == F.col("key"), "left").select(F.col("_key").alias(key), F.coalesce("group_id", "_key").alias("group_id"))
+
+
 def groups(keys: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """(key, group_id) of every key: the least key that pairs connect it with, its own if none do.
 
@@ -367,5 +382,5 @@ def groups(keys: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
         labels = moved.select("a", F.col("next").alias("label"))
         if done:
             break
-    all_ = keys.select(F.col(f"`{key}`").alias("_key")).where("_key IS NOT NULL").distinct()
-    return all_.join(labels, F.col("_key") == F.col("a"), "left").select(F.col("_key").alias(key), F.coalesce("label", "_key").alias("group_id"))
+    every = keys.select(F.col(f"`{key}`").alias("_key")).where("_key IS NOT NULL").distinct()
+    return every.join(labels, F.col("_key") == F.col("a"), "left").select(F.col("_key").alias(key), F.coalesce("label", "_key").alias("group_id"))

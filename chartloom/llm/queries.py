@@ -76,8 +76,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = p2_found(spark, sf_dir).toDF("a", "b")
-    return near_dup.groups(table(spark, sf_dir, "medical_events"), "event_id", pairs)
+    return near_dup.near_duplicate_groups(table(spark, sf_dir, "medical_events"), table(spark, sf_dir, "directory"), "event_id", "date", "provider", "description")
 
 
 #: Secret of the surrogates in the queries below; a user passes their own.

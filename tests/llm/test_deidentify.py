@@ -96,3 +96,10 @@ def test_unchanged_outside_items(spark):
     row = d.replaced(tables(spark, [("t", 1, text)])).first()
     assert row.redacted == "🙂 é [NAME]\r\n([PHONE]) x"
     assert row.pseudonymized.startswith("🙂 é ") and row.pseudonymized.endswith(") x") and len(row.pseudonymized.split("\r\n(")[1]) == len("555-0133) x")
+
+
+def test_lexicon_is_fitted_on_a_bounded_sample(spark):
+    names_ = spark.createDataFrame([(f"Name{i} Surname{i}",) for i in range(50)] + [(None,), ("",), ("Solo",)], "n STRING")
+    assert len(d.learned([names_, names_]).surnames) == 50
+    some = d.learned([names_], most=10)
+    assert len(some.surnames) <= 10 and some == d.learned([names_.repartition(3)], most=10)

@@ -106,3 +106,12 @@ def test_the_events(spark, sf):
     args = ("event_id", "date", "provider", "description")
     calm = {tuple(r) for r in near_dup.near_duplicates(events, directory, *args).collect()}
     assert calm == {tuple(r) for r in near_dup.near_duplicates(events, directory, *args, crowded=0).collect()} and calm
+
+
+def test_groups_of_records_equal_those_of_pairs(spark):
+    rows = [*made(3), (500, "2020-01-02", "N/A", "one more"), (501, "2020-01-02", "N/A", "one more"), (501, "2020-01-02", "N/A", "one more"), (502, None, "x", "y"), (None, "2020-01-02", "N/A", "one more")]
+    events = spark.createDataFrame(rows, ROW)
+    directory = spark.createDataFrame(DIRECTORY, "entity_id BIGINT, kind STRING, canonical_name STRING")
+    links = near_dup.near_duplicates(events, directory, "event_id", "date", "provider", "description")
+    want = {tuple(r) for r in near_dup.groups(events, "event_id", links).collect()}
+    assert {tuple(r) for r in near_dup.near_duplicate_groups(events, directory, "event_id", "date", "provider", "description").collect()} == want
