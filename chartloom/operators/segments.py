@@ -59,18 +59,19 @@ def end_pages(toc: DataFrame, page_count: int | None = None) -> DataFrame:
     return toc.withColumn("page_end", F.greatest(F.coalesce(following - 1, last), F.col("page_start")))
 
 
-def f_exhibits(toc: DataFrame, page_count: Column, most_pages: int = 50) -> DataFrame:
+def f_exhibits(toc: DataFrame, page_count: Column, most_pages: int | None = 50) -> DataFrame:
     """Medical exhibits of a case: exhibit_id, start and end page, pages kept and the last page read.
 
     An exhibit ends before the next medical exhibit in the order of bookmarks, the last at the file's
-    end. Court files put a C before the number; it is dropped.
+    end. Court files put a C before the number; it is dropped. Without ``most_pages`` all pages are kept.
     """
     title = F.regexp_extract("title", r"^C?(\d+F)\s*[-:]", 1)
     order = Window.partitionBy("case_id").orderBy("ord")
     found = toc.withColumn("exhibit_id", title).where("exhibit_id <> ''")
     ended = found.withColumn("end_page", F.coalesce(F.lead("page_start").over(order) - 1, page_count))
     pages = F.greatest(F.col("end_page") - F.col("page_start") + 1, F.lit(0))
-    return ended.select("case_id", "ord", "exhibit_id", "page_start", "end_page", F.least(pages, F.lit(most_pages)).alias("pages_read"), (F.col("page_start") + F.least(pages, F.lit(most_pages)) - 1).alias("last_read"))
+    kept = pages if most_pages is None else F.least(pages, F.lit(most_pages))
+    return ended.select("case_id", "ord", "exhibit_id", "page_start", "end_page", kept.alias("pages_read"), (F.col("page_start") + kept - 1).alias("last_read"))
 
 
 def structure(toc: DataFrame) -> DataFrame:

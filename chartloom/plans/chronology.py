@@ -22,7 +22,8 @@ class Options:
     overlap_chars: int = 500
     least_chars: int = 1_000
     match_threshold: float = 3.0
-    pages_per_exhibit: int = 50
+    #: Pages of each exhibit that are read, from its first; all by default.
+    pages_per_exhibit: int | None = None
     calls_per_minute: int | None = 50
 
 

@@ -78,6 +78,15 @@ def test_whole_run(spark):
     assert "low back pain" in rows[0].occurrence
 
 
+def test_whole_run_reads_long_exhibits_to_their_end(spark):
+    toc = spark.createDataFrame([("c", 1, 2, "1F - Notes", 1), ("c", 2, 2, "2F - More", 71)], "case_id STRING, ord INT, level INT, title STRING, page_start INT")
+    counts = spark.createDataFrame([("c", 140)], "case_id STRING, total_pages INT")
+    text = spark.createDataFrame([("c", p, f"Seen 01/{p % 28 + 1:02d}/2024 for knee pain.") for p in (1, 50, 51, 70, 140)], "case_id STRING, page INT, text STRING")
+    sources = lambda options: {r.source for r in plan.run(toc, counts, text, providers.RuleProvider(), options).collect()}
+    assert sources(plan.Options(calls_per_minute=None)) == {"1F@1 (p.1)", "1F@50 (p.50)", "1F@51 (p.51)", "1F@70 (p.70)", "2F@70 (p.140)"}
+    assert sources(plan.Options(calls_per_minute=None, pages_per_exhibit=50)) == {"1F@1 (p.1)", "1F@50 (p.50)"}
+
+
 def test_report(spark, tmp_path):
     import datetime as dt
 
