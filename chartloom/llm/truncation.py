@@ -232,9 +232,12 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
     Null and empty texts, and texts of white space or marks alone, are not cut. A key that repeats
     counts once; null keys are left out; null sources form one source. Texts are read whole. Other
     columns, whatever their names, are ignored.
+
+    Exact copies are one piece of evidence: all that is counted, greatest lengths included, is counted
+    over distinct texts (by a hash of 128 bits), and each copy gets the verdict of its text.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{key_}`").alias("_key"), F.col(f"`{source}`").alias("_source"), F.col(f"`{text}`").alias("_text")).where("_key IS NOT NULL")
+    rows = df.select(F.col(f"`{key_}`").alias("_key"), F.col(f"`{source}`").alias("_source"), F.col(f"`{text}`").alias("_text")).where("_key IS NOT NULL").withColumn("_hash", F.unhex(F.md5("_text")))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("_key", "_source")}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,27 +248,28 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
                 pa.array([len(t) if t else 0 for t in texts], pa.int64()),
                 *(pa.array([f[i] if f else None for f in found], kind) for i, kind in enumerate((pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64()))),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_key", "_source", "n_chars", "marked", "last_token", "in_line", "keys", "alt"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *columns], names=["_key", "_source", "_hash", "n_chars", "marked", "last_token", "in_line", "keys", "alt"])
 
-    tails = cut(rows.mapInArrow(read, f"_key {kinds['_key']}, _source {kinds['_source']}, n_chars BIGINT, marked BOOLEAN, last_token STRING, in_line INT, keys ARRAY<BIGINT>, alt BIGINT").dropDuplicates(["_key"]))
-    size = tails.agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars")).first()
+    tails = cut(rows.mapInArrow(read, f"_key {kinds['_key']}, _source {kinds['_source']}, _hash BINARY, n_chars BIGINT, marked BOOLEAN, last_token STRING, in_line INT, keys ARRAY<BIGINT>, alt BIGINT").dropDuplicates(["_key"]))
+    once = cut(tails.dropDuplicates(["_hash"]))
+    size = once.agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars")).first()
     by_chance = CUT_SHARE * size["texts"] / max(size["chars"] or 0, 1)
 
     # A filter of fixed size tells which runs stand at any text's end.
-    ends = tails.select(F.explode(F.concat("keys", F.when(F.col("alt").isNotNull(), F.array("alt")).otherwise(F.array().cast("array<bigint>")))).alias("k"))
+    ends = once.select(F.explode(F.concat("keys", F.when(F.col("alt").isNotNull(), F.array("alt")).otherwise(F.array().cast("array<bigint>")))).alias("k"))
     low = F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = ends.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(k & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for r in words.toLocalIterator():  # at most 65,536 rows
         bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
     shared = spark.sparkContext.broadcast(bits)
-    counted = rows.where("_text <> ''").select("_text").mapInArrow(lambda batches: _counted(batches, shared.value), "kind INT, key BIGINT, word STRING, n BIGINT, ends BIGINT, stops BIGINT")
+    counted = rows.where("_text <> ''").select("_hash", "_text").dropDuplicates(["_hash"]).select("_text").mapInArrow(lambda batches: _counted(batches, shared.value), "kind INT, key BIGINT, word STRING, n BIGINT, ends BIGINT, stops BIGINT")
     counts = cut(counted.groupBy("kind", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("stops").alias("stops")))
 
     # Each run at a text's end: occurrences inside texts, how many of those end something, and texts that end there.
     asked = tails.select("_key", F.posexplode("keys").alias("order", "k")).select("_key", (F.col("order") + 1).alias("kind"), F.col("k").alias("key"))
-    final = asked.groupBy("kind", "key").agg(F.count("*").alias("f"))
-    stops = tails.where("alt IS NOT NULL").select(F.lit(3).alias("kind"), F.col("alt").alias("key")).distinct().withColumn("f", F.lit(0).cast("long"))
+    final = once.select(F.posexplode("keys").alias("order", "key")).groupBy((F.col("order") + 1).alias("kind"), "key").agg(F.count("*").alias("f"))
+    stops = once.where("alt IS NOT NULL").select(F.lit(3).alias("kind"), F.col("alt").alias("key")).distinct().withColumn("f", F.lit(0).cast("long"))
     runs = final.unionByName(stops.join(final.select("kind", "key"), ["kind", "key"], "left_anti")).join(counts.drop("word"), ["kind", "key"], "left")
     runs = runs.select("kind", "key", "f", (F.coalesce("n", F.lit(0)) - F.col("f")).alias("i"), (F.coalesce("ends", F.lit(0)) - F.col("f")).alias("e"), F.coalesce("stops", F.lit(0)).alias("s"))
     alts = tails.where("alt IS NOT NULL").select("_key", F.lit(5).alias("kind"), F.col("alt").alias("key"))
@@ -278,12 +282,12 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
     known = inside.where((F.col("i") >= KNOWN) & F.col("word").rlike(r"^\p{L}{2,}$"))
     nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), n -> left(word, n))")).alias("prefix"), "i").groupBy("prefix").agg(F.sum("i").alias("below"))
 
-    lengths = tails.groupBy("_source", "n_chars").count()
+    lengths = tails.select("_source", "_hash", "n_chars").distinct().groupBy("_source", "n_chars").count()
     limits = lengths.groupBy("_source").agg(F.max(F.struct("n_chars", "count")).alias("m"), F.sum("count").alias("all")).where(F.col("m.count") >= F.greatest(F.lit(2), F.ceil(F.col("all") * LIMIT_SHARE)))
     limits = limits.select(F.col("_source").alias("_limited"), F.col("m.n_chars").alias("limit"))
 
     all_ = (
-        tails.drop("keys")
+        tails.drop("keys", "_hash")
         .join(seen, "_key", "left")
         .join(nodes, F.col("last_token") == F.col("prefix"), "left")
         .join(limits, F.col("_source").eqNullSafe(F.col("_limited")), "left")

@@ -44,6 +44,15 @@ def test_rates(judged, spark):
     assert all(abs(r.rate - r.truncated / r.texts) < 1e-12 for r in got.values())
 
 
+def test_copies_are_no_evidence(spark, whole):
+    often, twice = (t[: next(i for i in range(len(t) // 2, len(t)) if t[i - 3 : i + 3].isalpha())] for t in (whole[0], whole[1]))
+    rows = [(i, "s", t) for i, t in enumerate(whole[2:])] + [(1000 + i, "s", often) for i in range(len(whole) // 2)] + [(2000, "s", twice), (2001, "t", twice)]
+    found = {r.doc_id: r for r in truncation.truncated(spark.createDataFrame(rows, DOC), "doc_id", "source", "text").collect()}
+    alone = {r.doc_id: r for r in truncation.truncated(spark.createDataFrame([r for r in rows if r[0] <= 1000 or r[0] == 2000], DOC), "doc_id", "source", "text").collect()}
+    assert len(found) == len(rows) and all(found[k].truncated == r.truncated for k, r in alone.items())
+    assert alone[1000].truncated and alone[2000].truncated and all(r.truncated for k, r in found.items() if k >= 1000)
+
+
 def test_marks():
     assert truncation.base("abc de …") == ("abc de", True) and truncation.base("abc�") == ("abc", True) and truncation.base("x [truncated]\n") == ("x", True)
     assert truncation.base("abc. \n") == ("abc.", False) and truncation.base("abc") == ("abc", False) and truncation.base(" … ")[0] == ""
