@@ -566,13 +566,18 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
 
 
+def event_pages(events: DataFrame) -> DataFrame:
+    """(case_id, page, text): all distinct source texts of each page in the order of their letters."""
+    texts = events.where("source_page IS NOT NULL AND source_text IS NOT NULL").select("case_id", F.col("source_page").alias("page"), F.concat(F.lit("Seen on 01/15/2024. "), "source_text").alias("text"))
+    return texts.groupBy("case_id", "page").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n\n").alias("text"))
+
+
 @query()
 def chronology_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The whole run over the bookmarks, with an event's source text as the text of its page."""
-    pages = event_rows(spark, d, "case_id", "source_page", "source_text").where("source_page IS NOT NULL").groupBy("case_id", F.col("source_page").alias("page")).agg(F.min("source_text").alias("text"))
-    dated = pages.withColumn("text", F.concat(F.lit("Seen on 01/15/2024. "), "text"))
+    """The whole run over the bookmarks, with the source texts of a page's events as its text."""
+    pages = event_pages(event_rows(spark, d, "case_id", "source_page", "source_text"))
     counts = table(spark, d, "claimants").groupBy("case_id").agg(F.max("total_document_pages").alias("total_pages"))
-    return plan.run(toc_rows(spark, d).where("page_start IS NOT NULL"), counts, dated, RuleProvider(), plan.Options(calls_per_minute=None))
+    return plan.run(toc_rows(spark, d).where("page_start IS NOT NULL"), counts, pages, RuleProvider(), plan.Options(calls_per_minute=None))
 
 
 @query(

@@ -57,3 +57,9 @@ def test_order_of_input_does_not_matter(spark, sf):
     once = reference_queries.chronology.processed(rows, ["case_id"]).select("seq", "source").collect()
     again = reference_queries.chronology.processed(rows.repartition(7).orderBy("occurrence"), ["case_id"]).select("seq", "source").collect()
     assert sorted(map(tuple, once)) == sorted(map(tuple, again))
+
+
+def test_pages_hold_the_texts_of_all_their_events(spark):
+    rows = [("c", 1, "b knee"), ("c", 1, "a back"), ("c", 1, "a back"), ("c", 2, "d"), ("c", 3, None), ("c", None, "e")]
+    got = {r.page: r.text for r in reference_queries.event_pages(spark.createDataFrame(rows, "case_id STRING, source_page INT, source_text STRING")).collect()}
+    assert set(got) == {1, 2} and got[1].index("a back") < got[1].index("b knee") and got[1].count("a back") == 1
