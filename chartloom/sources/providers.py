@@ -36,7 +36,7 @@ class RuleProvider:
     def generate(self, prompt: str) -> str:
         hits = list(re.finditer(self.pattern, prompt))
         ends = [h.start() for h in hits[1:]] + [len(prompt)]
-        found = [{"date": h[1], "visit_type": "office_visit", "occurrence_treatment": {"findings": " ".join(prompt[h.end() : end].split())[:500]}} for h, end in zip(hits, ends)]
+        found = [{"date": h[1], "visit_type": "office_visit", "occurrence_treatment": {"findings": " ".join(prompt[h.end() : end].split())}} for h, end in zip(hits, ends)]
         return json.dumps({"entries": found})
 
 

@@ -87,6 +87,11 @@ def test_whole_run_reads_long_exhibits_to_their_end(spark):
     assert sources(plan.Options(calls_per_minute=None, pages_per_exhibit=50)) == {"1F@1 (p.1)", "1F@50 (p.50)"}
 
 
+def test_rule_provider_keeps_long_findings():
+    said = " ".join(["pain"] * 200)
+    assert json.loads(providers.RuleProvider().generate(f"Seen 01/15/2024 {said}"))["entries"][0]["occurrence_treatment"]["findings"] == said
+
+
 def test_report(spark, tmp_path):
     import datetime as dt
 
