@@ -51,7 +51,8 @@ def plain(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return bare if bare.isascii() else unicodedata.normalize("NFC", bare)
 
 
 def names_nobody(value: str | None) -> bool:

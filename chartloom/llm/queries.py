@@ -89,7 +89,7 @@ def _personal(spark: SparkSession, sf_dir: str) -> deidentify.Tables:
     notes = events.select(F.col("event_id").alias("record_id"), F.explode(F.array(field("source_text"), field("description"))).alias("f")).select("f.field", "record_id", "f.text")
     texts = notes.unionByName(claimants.select(F.lit("ssn").alias("field"), F.col("claimant_id").alias("record_id"), F.col("ssn").alias("text")))
     people = table(spark, sf_dir, "directory").where("kind = 'person'").select("canonical_name")
-    return deidentify.deidentify(texts, deidentify.learned([claimants.select("full_name"), people]), SURROGATE_KEY)
+    return deidentify.deidentify(texts, deidentify.name_words([claimants.select("full_name"), people]), SURROGATE_KEY)
 
 
 @query()

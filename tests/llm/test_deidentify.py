@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from chartloom.llm import deidentify as d
+from chartloom.llm import names, surrogates
 
 PEOPLE = ["Gideon Ablevubbel", "Thomas Brindvombry", "Elkhubbel, Nathaniel", "Noor M. Crommaduk", "Rebecca B. Rusklombry", "Lucía B. Holbrimore, MD", "Daniel Ostvibbon", "James Ostvombry", "Uma Rusklibbon", "Thandi Crommubbel", "Ablevombry, Wren", "Ann Ostvaduk"]
 
@@ -53,8 +57,12 @@ def test_typed_numbers():
 TEXT = "field STRING, record_id BIGINT, text STRING"
 
 
-def tables(spark, rows, key=b"k"):
-    return d.deidentify(spark.createDataFrame(rows, TEXT), d.Lexicon.of(PEOPLE), key)
+def listed(spark, people=PEOPLE):
+    return d.name_words([spark.createDataFrame([(n,) for n in people], "n STRING")])
+
+
+def tables(spark, rows, key=b"k", people=PEOPLE, **more):
+    return d.deidentify(spark.createDataFrame(rows, TEXT), listed(spark, people), key, **more)
 
 
 def test_surrogates_keep_type_distinctness_and_coreference(spark):
@@ -75,12 +83,76 @@ def test_surrogates_keep_type_distinctness_and_coreference(spark):
     assert d.items(made).count() == 10
 
 
-def test_collisions_are_drawn_again(spark, monkeypatch):
-    wanted = spark.createDataFrame([("surname", f"name{i}") for i in range(40)] + [("given", "ab"), ("address", "12"), ("address", "13")], "part_kind STRING, item STRING")
-    got = d.assign(wanted, b"key").collect()
-    assert len({(r.part_kind, r.surrogate) for r in got}) == 43
-    small = {str(n): d.surrogate(b"k", "address", str(n), 0) for n in range(10, 100)}
-    assert len(set(small.values())) == 90 and all(len(v) == 2 for v in small.values())
+@pytest.mark.parametrize(("size", "share"), [(2, 1), (10, 1), (676, 1), (1000, 0.9)])
+def test_permutation_of_a_dense_form(size, share):
+    used = random.Random(1).sample(range(size), int(size * share))
+    made = [surrogates.permuted(b"k", "t", x, size) for x in used]
+    assert len(set(made)) == len(used) and max(made) < size and all(a != b for a, b in zip(used, made))
+
+
+def test_parts_of_a_form_that_is_nearly_full(spark):
+    emails = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:608]
+    numbers = [f"{i:03d}" for i in range(900)]
+    names_ = [a + e + c for a in "bcdfghjklmnpqrstvwxyz" for e in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"][: 21 * 5 * 19]
+    rows = [("email", x) for x in emails] + [("number", x) for x in numbers] + [("surname", x) for x in names_]
+    got = surrogates.assign(spark.createDataFrame([(*r, 0) for r in rows], "part_kind STRING, item STRING, evidence INT"), b"key").collect()
+    assert len(got) == len(rows) == len({(r.part_kind, r.surrogate) for r in got})
+    assert all(r.item != r.surrogate and len(r.item) == len(r.surrogate) and r.item.isdigit() == r.surrogate.isdigit() for r in got)
+    assert {(r.part_kind, r.surrogate) for r in got if r.is_real} == {(r.part_kind, r.surrogate) for r in got} & set(rows)
+
+
+@pytest.mark.parametrize(("text", "items"), [
+    ("Пациент Иван Петров пришел.", ["Иван Петров"]), ("見 王小明 先生,王小明。", ["王小明", "王小明"]), ("Mr Łukasz Ščerba called Şerife.", ["Łukasz Ščerba"]),
+    ("حضر محمد الحداد اليوم", ["محمد الحداد"]), ("Jose\u0301 Marti\u0301n and José Martín left.", ["Jose\u0301 Marti\u0301n", "José Martín"]),
+])
+def test_names_in_other_scripts_keep_their_script(spark, text, items):
+    people = ["Иван Петров", "王小明", "Łukasz Ščerba", "محمد الحداد", "José Martín"]
+    assert [text[x.start : x.end] for x in d.find(text, d.Lexicon.of(people))] == items
+    made = tables(spark, [("t", 1, text)], people=people)
+    for r in made.surrogates.collect():
+        assert r.surrogate != r.item and {surrogates.script(c) for c in r.surrogate} == {surrogates.script(c) for c in names.plain(r.item)}
+    row = d.replaced(made).first()
+    assert row.n_items == len(items) and not any(x in row.pseudonymized for x in items)
+
+
+def test_parts_of_addresses():
+    split = lambda kind, text: [(k, text[a:b]) for k, _, a, b in d.parts(kind, text)]
+    assert split("email", "a.b7@mail.postnook.example") == [("email", "a.b7"), ("host", "mail"), ("host", "postnook")]
+    assert split("email", "c.d at inboxfield dot example dot org") == [("email", "c.d"), ("host", "inboxfield"), ("host", "example")]
+    assert split("address", "One Hundred Six East Elm Hwy, Nortekford WV 01234") == [("ones", "One"), ("ones", "Six"), ("place", "Elm"), ("place", "Nortekford"), ("state", "WV"), ("number", "01234")]
+    assert surrogates.dressed("x.y7", "a.b1") == "x.y7" and surrogates.dressed("5550199", "(555)-O133") == "(555)-0199"
+
+
+def test_phones_of_other_countries(lexicon):
+    assert found(lexicon, "Call +44 20 7946 0958 or +49 (30) 1234567.") == [("phone", "+44 20 7946 0958"), ("phone", "+49 (30) 1234567")]
+
+
+def test_gender_is_learned_from_mentions(spark):
+    rows = [("t", i, f"Mrs. Wren Ablevombry came. Noor Crommaduk said he slept. Zeb{i}ka Brindvombry came.") for i in range(3)]
+    got = {r.item: r.surrogate for r in tables(spark, rows, people=[*PEOPLE, "Wren Ablevombry"]).surrogates.collect()}
+    assert got["wren"].endswith("a") and got["noor"].endswith("o") and got["ablevombry"]
+
+
+def test_words_are_classified_as_by_the_lexicon(spark, lexicon):
+    rng = random.Random(4)
+    known = [w for n in PEOPLE for w, _ in d.words_of(n)] + list(names.NICKNAMES)
+    words = set(known) | {"", "-", "a-b", "ostvaduk", "rusklvombry-crommaduk", "crommvombry", "x" * 50}
+    for w in rng.choices(known, k=200):
+        i, j = sorted(rng.choices(range(len(w) + 1), k=2))
+        words |= {w[:i] + w[i + 1 :], w[:i] + rng.choice("abz") + w[i:], w[:i] + w[j:], w[:i] + "-" + w[i:]}
+    got = {r.word: r.flags for r in d.classified(spark.createDataFrame([(w,) for w in words], "word STRING"), listed(spark)).collect()}
+    assert got == {w: f for w in words if (f := lexicon(w))}
+
+
+def test_words_that_are_joined_find_the_same(spark, sf):
+    rows = [("t", i, f"{a} met {b[:-1]}e. Spoke with Elkhubbel, Natahniel; P. Ruskladuk 555-0133.") for i, (a, b) in enumerate(zip(PEOPLE, PEOPLE[1:]))]
+    rows += [("t", 90, None), ("t", 91, "none here"), ("t", 92, rows[0][2]), ("ssn", 5, "967-28-3022"), ("t", 93, "Uma Rusklibbon " * 5_000)]
+    shared, joined = (sorted(map(str, d.detect(spark.createDataFrame(rows, TEXT), listed(spark), shared_words=n).collect())) for n in (d.SHARED_WORDS, 0))
+    assert shared == joined and len(shared) > 5_000
+    texts = spark.read.parquet(f"{sf}/medical_events.parquet").select(F.lit("t").alias("field"), F.col("event_id").alias("record_id"), F.col("source_text").alias("text"))
+    people = spark.read.parquet(f"{sf}/claimants.parquet").select("full_name")
+    lexicon = d.name_words([people])
+    assert sorted(map(str, d.detect(texts, lexicon).collect())) == sorted(map(str, d.detect(texts, lexicon, shared_words=0).collect()))
 
 
 def test_key_changes_surrogates_and_empty_tables(spark):
@@ -98,8 +170,10 @@ def test_unchanged_outside_items(spark):
     assert row.pseudonymized.startswith("🙂 é ") and row.pseudonymized.endswith(") x") and len(row.pseudonymized.split("\r\n(")[1]) == len("555-0133) x")
 
 
-def test_lexicon_is_fitted_on_a_bounded_sample(spark):
-    names_ = spark.createDataFrame([(f"Name{i} Surname{i}",) for i in range(50)] + [(None,), ("",), ("Solo",)], "n STRING")
-    assert len(d.learned([names_, names_]).surnames) == 50
-    some = d.learned([names_], most=10)
-    assert len(some.surnames) <= 10 and some == d.learned([names_.repartition(3)], most=10)
+def test_lists_of_names_of_any_size(spark):
+    people = [f"Given{i}q Surname{i}" for i in range(3_000)]
+    names_ = spark.createDataFrame([(n,) for n in people] + [(None,), ("",), ("Solo",)], "n STRING")
+    texts = spark.createDataFrame([("t", i, f"then Surname{i} came") for i in range(3_000)], TEXT)
+    assert d.detect(texts, d.name_words([names_, names_])).count() == 3_000
+    empty = d.name_words([names_.limit(0)])
+    assert d.detect(texts, empty).count() == 0 and d.detect(texts.limit(0), empty).count() == 0
