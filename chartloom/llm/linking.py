@@ -9,33 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import names
+from chartloom.operators.small import if_small
 from chartloom.session import cut
 
-#: Most entities of a directory; its index goes to every worker.
-MAX_DIRECTORY = 200_000
 #: Most edits between a name and the directory's form of it, however many merges lie between.
 MOST_EDITS = 3
+#: Costs up to which a value is merged: the next is tried when nothing merges below the one before.
+LEVELS = (0.8, 1.6, 2.6)
+#: How much dearer the next entity has to be.
+APART = 0.15
 
-_indexes: dict[int, names.Directory] = {}
-
-MERGED = "spelling STRING, entity_id BIGINT, word STRING, given STRING, middle STRING"
-READ = "spelling STRING, word STRING, given STRING, middle STRING"
-
-
-def index(rows: tuple[tuple[int, str, str], ...]) -> names.Directory:
-    """The directory's index, built once a worker."""
-    key = hash(rows)
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = names.Directory.of(rows)
-    return _indexes[key]
-
-
-def directory_rows(directory: DataFrame) -> tuple[tuple[int, str, str], ...]:
-    rows = directory.select(F.col("entity_id").cast("long"), "kind", "canonical_name").where("entity_id IS NOT NULL AND canonical_name IS NOT NULL").limit(MAX_DIRECTORY + 1).collect()
-    if len(rows) > MAX_DIRECTORY:
-        raise ValueError(f"the directory has more than {MAX_DIRECTORY} entities")
-    return tuple(sorted((r[0], r[1] or "", r[2]) for r in rows))
+ENTITY = "entity_id BIGINT, kind STRING, canonical STRING"
+READING = "word STRING, given STRING, middle STRING"
+CANDIDATE = f"spelling STRING, {ENTITY}, left_out INT, cost DOUBLE, {READING}"
 
 
 def readings(value: str) -> Iterator[tuple[str, str, str]]:
@@ -54,36 +40,43 @@ def readings(value: str) -> Iterator[tuple[str, str, str]]:
         yield place, " ".join(named), ""
 
 
-def merged(value: str, entity: int, known: names.Directory) -> tuple[str, str, str]:
+def merged(value: str, kind: str, canonical: str) -> tuple[str, str, str]:
     """What a linked spelling adds to the entity's profile: the reading nearest to its name."""
-    if (p := known.persons.get(entity)) is not None:
-        target, org = p.surname, False
+    if kind == "person":
+        target, org = names.person(canonical).surname, False
     else:
-        o = known.organisations[entity]
+        o = names.organisation(canonical)
         target, org = o.words[o.place], True
     ways = [r for r in readings(value) if (" " in r[1]) == org]
     return min(ways, key=lambda r: (names.distance(r[0], target, 6), r), default=("", "", ""))
 
 
-def again(word: str, given: str, middle: str, variant: str, by_given: bool, entity: int, known: names.Directory) -> float | None:
-    """Cost of a reading that meets a merged spelling of an entity; None where it doesn't fit the entity."""
-    if (p := known.persons.get(entity)) is not None:
+def again(word: str, given: str, middle: str, variant: tuple[str, str, str], by_given: bool, kind: str, canonical: str) -> float | None:
+    """Cost of a reading that meets a spelling merged into an entity; None where it doesn't fit the entity.
+
+    The reading is held against the merged spelling: what differs from it costs, not what that differs from the
+    entity's own name by. The own name only bounds how far merges may lead away from it.
+    """
+    if kind == "person":
+        p = names.person(canonical)
+        if not given and not middle:
+            return None
         beside = p.read(tuple(x for x in (given, middle) if x))
-        if beside is None or (not given and not middle):
+        if len(given) > 1 and given == variant[1] and (not middle or not p.middle or middle == p.middle):
+            beside = min(0.2, beside if beside is not None else 0.2)
+        if beside is None:
             return None
+        d = names.close(word, p.surname, MOST_EDITS)
         if by_given and middle == p.middle:
             n = len(word)
-            d = min([names.close(word, p.surname, MOST_EDITS), *(0.5 + names.close(word, p.surname[:k], 2) for k in range(max(4, n - 2), min(n + 3, len(p.surname))))])
+            d = min([d, *(0.5 + names.close(word, p.surname[:k], 2) for k in range(max(4, n - 2), min(n + 3, len(p.surname))))])
             return 0.5 * d + beside if d <= MOST_EDITS and word[0] == p.surname[0] else None
-        d = names.close(word, p.surname, MOST_EDITS)
-        if d <= MOST_EDITS and names.distance(word, variant, 1) <= 1 and word != p.surname:
-            return 0.5 * d + beside
-        return None
-    o = known.organisations[entity]
-    typed = tuple(given.split())
+        step = names.distance(word, variant[0], 1)
+        return 0.25 + 0.5 * min(d, step) + beside if d <= MOST_EDITS and step <= 1 and word != p.surname else None
+    o = names.organisation(canonical)
+    typed, spelled = tuple(given.split()), tuple(variant[1].split())
     if len(typed) != len(o.words) or (place := names.same_place(word, o.words[o.place])) is None:
         return None
-    spelled = tuple(variant.split())
     if len(spelled) == len(typed) and sum(names.distance(a, b, 2) for i, (a, b) in enumerate(zip(typed, spelled)) if i != o.place) <= 1:
         return place + 0.5
     return None
@@ -92,7 +85,7 @@ def again(word: str, given: str, middle: str, variant: str, by_given: bool, enti
 def _words_left(word: str) -> Column:
     """The word and each form of it with one letter left out."""
     left = f"concat('w:', left({word}, i - 1), substring({word}, i + 1))"
-    return F.expr(f"array_distinct(concat(array(concat('w:', {word})), transform(sequence(1, length({word})), i -> {left})))")
+    return F.expr(f"array_distinct(concat(array(concat('w:', {word})), CASE WHEN length({word}) <= {names.LONGEST} THEN transform(sequence(1, length({word})), i -> {left}) ELSE array() END))")
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -101,71 +94,100 @@ def _keys(df: DataFrame) -> DataFrame:
     return df.where("length(word) >= 4").withColumn("key", F.explode(F.concat(_words_left("word"), given)))
 
 
-def link(values: DataFrame, spelling: str, directory: DataFrame) -> DataFrame:
-    """(entity_id, spelling) of each distinct value that refers to an entity of the directory.
+def _each(run, schema: pa.Schema, columns: int = 1):  # noqa: ANN001, ANN202
+    """A function on batches from one that yields rows for the first columns of a row."""
 
-    First every value is read against the directory: slips of the hand and of scanning, short forms,
-    nicknames, initials, swapped parts, names cut off, acronyms. A linked spelling is merged into its
-    entity: its forms of the surname, given name, initials and organisation's words join the profile.
-    Values left over enter blocking again, now against the profiles: they meet an entity where their
-    surname is one letter from a merged one, or their given name and initial are merged ones, and they
-    are linked where the entity's own name is not contradicted and at most MOST_EDITS edits away. What
-    was linked is merged in turn, until a round links nothing.
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            rows = [r for x in zip(*(batch.column(i).to_pylist() for i in range(columns))) for r in run(*x)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return batches
+
+
+_S, _I, _L, _F = pa.string(), pa.int32(), pa.int64(), pa.float64()
+_CANDIDATE = pa.schema([("spelling", _S), ("entity_id", _L), ("kind", _S), ("canonical", _S), ("left_out", _I), ("cost", _F), ("word", _S), ("given", _S), ("middle", _S)])
 
-    Values that name nobody, or fit two entities alike, are not linked; neither are nulls. A value
-    counts once however often it occurs. Entities without id or name are left out.
-    """
-    spark = values.sparkSession
-    rows = directory_rows(directory)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index(rows)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for value in batch.column(0).to_pylist():
-                if names.names_nobody(value):
-                    continue
-                hit = known.match(value)
-                found = (value, hit[0], *merged(value, hit[0], known)) if hit else (value, None, "", "", "")
-                for column, x in zip(out, found):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.string()) for c in out[2:])], names=["spelling", "entity_id", "word", "given", "middle"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(value, *r) for value in batch.column(0).to_pylist() for r in readings(value)]
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["spelling", "word", "given", "middle"])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index(rows)
-        for batch in batches:
-            kept, costs = [], []
-            for i, (word, given, middle, variant, by_given, entity) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 7)))):
-                if (cost := again(word, given, middle, variant, by_given, entity, known)) is not None:
-                    kept.append(i)
-                    costs.append(cost)
-            part = batch.take(pa.array(kept, pa.int64()))
-            columns = [part.column(k) for k in (0, 6, 1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(costs, pa.float64())], names=["spelling", "entity_id", "word", "given", "middle", "cost"])
 
+def _read(spelling: str, entity: int, kind: str, canonical: str) -> Iterator[tuple]:
+    hit = names.read(spelling, kind, canonical)
+    if hit:
+        yield spelling, entity, kind, canonical, *hit, *merged(spelling, kind, canonical)
+
+
+def _read_again(spelling: str, word: str, given: str, middle: str, entity: int, kind: str, canonical: str, v_word: str, v_given: str, v_middle: str, by_given: bool) -> Iterator[tuple]:
+    cost = again(word, given, middle, (v_word, v_given, v_middle), by_given, kind, canonical)
+    if cost is not None:
+        yield spelling, entity, kind, canonical, 0, cost, word, given, middle
+
+
+def _keyed_value(spelling: str) -> Iterator[tuple]:
+    if not names.names_nobody(spelling):
+        yield from ((spelling, k) for k in names.value_keys(spelling))
+
+
+def _keyed_entity(entity: int, kind: str, canonical: str) -> Iterator[tuple]:
+    yield from ((entity, kind, canonical, k) for k in set(names.entity_keys(kind, canonical)))
+
+
+def decided(candidates: DataFrame, most: float) -> DataFrame:
+    """The cheapest entity of each spelling, unless it is dearer than ``most`` or another comes too near it."""
+    cheapest = candidates.groupBy("spelling", "entity_id").agg(F.min(F.struct("cost", "kind", "canonical", "word", "given", "middle")).alias("m"))
+    # The two cheapest entities are enough to tell; they are found without gathering all of a spelling's.
+    first = cheapest.groupBy("spelling").agg(F.min(F.struct("m.cost", "entity_id", "m")).alias("b"))
+    other = cheapest.join(first.select(F.col("spelling").alias("_s"), F.col("b.entity_id").alias("_e"), F.col("b.cost").alias("_c")), (F.col("spelling") == F.col("_s")) & (F.col("entity_id") != F.col("_e")) & (F.col("m.cost") - F.col("_c") < APART)).select("spelling").distinct()
+    best = first.where(F.col("b.cost") <= most).join(other, "spelling", "left_anti")
+    return best.select("spelling", F.col("b.entity_id").alias("entity_id"), "b.m.kind", "b.m.canonical", "b.m.word", "b.m.given", "b.m.middle")
+
+
+def link(values: DataFrame, spelling: str, directory: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """(entity_id, spelling, canonical, kind, merge_round, level) of each distinct value that refers to an entity of the directory.
+
+    Values and entities are blocked by what slips of the hand leave of their surnames, places, beginnings
+    and acronyms, and met values are read as the entity: slips of the hand and of scanning, short forms, nicknames,
+    initials, swapped parts, names cut off. Each reading has a cost.
+
+    Merge and rematch: the cheapest readings, up to the first level, are merged. A merged spelling joins
+    the entity's profile: its form of the surname, of the given name, its initials, its words of an
+    organisation. Profiles enter blocking again with what they gained, and open values that meet them there
+    are held against the merged spelling, at most MOST_EDITS from the entity's own name. Rounds go on
+    until none merges anything; then the next level is tried, until none merges at the last.
+
+    Values that name nobody, or fit two entities alike, are not linked; neither are nulls. A value counts once
+    however often it occurs. Entities without id or name are left out. Directory and values are joined,
+    so both may be of any size; words of more than 40 letters are compared as they stand.
+    """
+    entities = directory.select(F.col("entity_id").cast("long").alias("entity_id"), F.coalesce("kind", F.lit("")).alias("kind"), F.col("canonical_name").alias("canonical")).where("entity_id IS NOT NULL AND canonical IS NOT NULL").distinct()
     distinct = values.select(F.col(f"`{spelling}`").alias("spelling")).where("spelling IS NOT NULL").distinct()
-    tried = cut(distinct.mapInArrow(first, MERGED))
-    links = tried.where("entity_id IS NOT NULL")
-    left = tried.where("entity_id IS NULL").select("spelling")
-    open_ = _keys(left.mapInArrow(read, READ))
-    new = links
+    # Few bytes of names take much work, so they are spread over tasks by number, not by size.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(tasks).mapInArrow(_each(_keyed_value, pa.schema([("spelling", _S), ("key", _S)])), "spelling STRING, key STRING")
+    blocks = cut(entities.mapInArrow(_each(_keyed_entity, pa.schema([("entity_id", _L), ("kind", _S), ("canonical", _S), ("key", _S)]), 3), f"{ENTITY}, key STRING"))
+    met = keyed.join(if_small(blocks, 200_000), "key").select("spelling", "entity_id", "kind", "canonical").distinct()
+    scored = cut(met.repartition(tasks).mapInArrow(_each(_read, _CANDIDATE, 4), CANDIDATE))
+    # Where a word stands as it is, entities it meets with letters left out don't count.
+    least = scored.groupBy(F.col("spelling").alias("_s")).agg(F.min("left_out").alias("_n"))
+    candidates = scored.join(least, (F.col("spelling") == F.col("_s")) & (F.col("left_out") == F.col("_n"))).drop("_s", "_n")
+
+    # Values that no reading settles enter blocking again in each round.
+    new = cut(decided(candidates, levels[0]))
+    open_ = cut(distinct.join(new.select("spelling"), "spelling", "left_anti").mapInArrow(_each(lambda s: () if names.names_nobody(s) else ((s, *r) for r in readings(s)), pa.schema([("spelling", _S), ("word", _S), ("given", _S), ("middle", _S)])), f"spelling STRING, {READING}"))
+    links, number, level = None, 0, 0
     while True:
-        variant = F.when(F.col("given").contains(" "), F.col("given")).otherwise(F.col("word"))
-        profiles = _keys(new.select("entity_id", "word", "given", "middle").distinct()).select("entity_id", "key", variant.alias("variant")).distinct()
-        pairs = open_.join(profiles, "key").select("spelling", "word", "given", "middle", "variant", F.col("key").startswith("g:").alias("by_given"), "entity_id").distinct()
-        costs = pairs.mapInArrow(scored, "spelling STRING, entity_id BIGINT, word STRING, given STRING, middle STRING, cost DOUBLE")
-        cheapest = costs.groupBy("spelling", "entity_id").agg(F.min(F.struct("cost", "word", "given", "middle")).alias("m"))
-        ranked = cheapest.groupBy("spelling").agg(F.min(F.struct("m.cost", "entity_id", "m.word", "m.given", "m.middle")).alias("b"), F.sort_array(F.collect_list("m.cost")).alias("c"))
-        fits = ranked.where("b.cost <= 2.6 AND (size(c) = 1 OR c[1] - c[0] >= 0.15)")
-        new = cut(fits.select("spelling", "b.entity_id", "b.word", "b.given", "b.middle"))
         if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        open_ = open_.join(new.select("spelling"), "spelling", "left_anti")
-    return links.select("entity_id", "spelling")
+            if level + 1 == len(levels):
+                break
+            level += 1
+        else:
+            number += 1
+            found = new.select("entity_id", "spelling", "canonical", "kind", F.lit(number).alias("merge_round"), F.lit(levels[level]).alias("level"))
+            links = found if links is None else links.unionByName(found)
+            profiles = _keys(new.select("entity_id", "kind", "canonical", "word", "given", "middle").distinct()).select("entity_id", "kind", "canonical", "key", F.col("word").alias("v_word"), F.col("given").alias("v_given"), F.col("middle").alias("v_middle"))
+            still = _keys(open_.join(links.select("spelling"), "spelling", "left_anti"))
+            pairs = still.join(profiles, "key").select("spelling", "word", "given", "middle", "entity_id", "kind", "canonical", "v_word", "v_given", "v_middle", F.col("key").startswith("g:").alias("by_given")).distinct()
+            gained = pairs.mapInArrow(_each(_read_again, _CANDIDATE, 11), CANDIDATE)
+            candidates = cut(candidates.join(new.select("spelling"), "spelling", "left_anti").unionByName(gained))
+        new = cut(decided(candidates, levels[level]))
+    if links is None:
+        return values.sparkSession.createDataFrame([], "entity_id BIGINT, spelling STRING, canonical STRING, kind STRING, merge_round INT, level DOUBLE")
+    return links

@@ -1,13 +1,15 @@
-"""Names of persons and organisations as people type them: parsing, comparing, and matching to a directory."""
+"""Names of persons and organisations as people type them: parsing, comparing, and reading one as another."""
 
 from __future__ import annotations
 
 import functools
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+#: Letters up to which words are compared with slips; longer ones count as they stand.
+LONGEST = 40
 
 # Words that name nobody, titles, degrees, words around organisations' names.
 FILLERS = frozenset(
@@ -193,17 +195,6 @@ class Person:
         return cost + read
 
 
-def person(canonical: str) -> Person | None:
-    words = [t for t in tokens(canonical) if t not in TITLES]
-    degree = words.pop() if len(words) > 1 and words[-1] in DEGREES else ""
-    if len(words) < 2:
-        return None
-    if "," in canonical and tokens(canonical.split(",")[0]) and len(tokens(canonical.split(",")[0])) == 1 and not degree:
-        words = words[1:] + words[:1]
-    middle = words[1][0] if len(words) > 2 else ""
-    return Person(words[0], middle, words[-1], degree)
-
-
 # ---------------------------------------------------------------- organisations
 
 
@@ -287,101 +278,138 @@ def _swapped(a: str, b: str) -> bool:
     return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
 
 
-# ---------------------------------------------------------------- directory
+# ---------------------------------------------------------------- reading a value as an entity
 
 
-def best(found: dict[int, float], most: float, apart: float = 0.15) -> tuple[int, float] | None:
-    """The cheapest reading, unless it is dear or another comes too near it."""
-    ranked = sorted((cost, entity) for entity, cost in found.items())
-    if not ranked or ranked[0][0] > most or (len(ranked) > 1 and ranked[1][0] - ranked[0][0] < apart):
+@functools.lru_cache(maxsize=100_000)
+def person(canonical: str) -> Person | None:
+    words = [t for t in tokens(canonical) if t not in TITLES]
+    degree = words.pop() if len(words) > 1 and words[-1] in DEGREES else ""
+    if len(words) < 2:
         return None
-    return ranked[0][1], ranked[0][0]
-
-
-def _looked_up(index: dict[str, set[int]], word: str, left_out: int) -> set[int]:
-    if left_out == 0:
-        keys: Iterable[str] = (word, squeezed(word))
-    else:
-        keys = deletions(word, left_out) | deletions(squeezed(word), 1)
-    return set().union(*(index.get(k, ()) for k in keys))
-
-
-@dataclass
-class Directory:
-    """Index of known persons and organisations; one copy a worker."""
-
-    persons: dict[int, Person] = field(default_factory=dict)
-    organisations: dict[int, Organisation] = field(default_factory=dict)
-    by_surname: dict[str, set[int]] = field(default_factory=lambda: defaultdict(set))
-    by_start: dict[str, set[int]] = field(default_factory=lambda: defaultdict(set))
-    by_place: dict[str, set[int]] = field(default_factory=lambda: defaultdict(set))
-    by_acronym: dict[str, set[int]] = field(default_factory=lambda: defaultdict(set))
-
-    @classmethod
-    def of(cls, rows: Iterable[tuple[int, str, str]]) -> Directory:
-        made = cls()
-        for entity, kind, name in rows:
-            if name is None or entity is None:
-                continue
-            if kind == "person" and (p := person(name)):
-                made.persons[entity] = p
-                for key in deletions(p.surname, 2) | deletions(squeezed(p.surname), 1):
-                    made.by_surname[key].add(entity)
-                for n in range(3, len(p.surname)):
-                    for key in deletions(p.surname[:n], 1) if n > 4 else (p.surname[:n],):
-                        made.by_start[key].add(entity)
-            elif kind != "person" and (words := organisation_words(name)):
-                made.organisations[entity] = o = Organisation(words)
-                for key in deletions(o.words[o.place], 2) | deletions(squeezed(o.words[o.place]), 1):
-                    made.by_place[key].add(entity)
-                made.by_acronym[o.acronym].add(entity)
-        return made
-
-    def candidates(self, value: str) -> dict[int, float]:
-        """Entities a value may refer to, with the cost of that reading.
-
-        Words are looked up as they stand, then with one and two letters left out, until something is found.
-        """
-        words = [t for t in tokens(value) if t not in TITLES]
-        found: dict[int, float] = {}
-        named = organisation_words(value)
-        if len(words) == 1 and 3 <= len(words[0]) <= 6:
-            found |= {entity: 0.5 for entity in self.by_acronym.get(words[0], ())}
-        places = [w for w in named[:2] if len(w) >= 4] if len(named) > 1 else []
-        surnames = [(i, w) for i, w in enumerate(words) if len(w) >= 5]
-        last = max((i for i, t in enumerate(words) if t not in DEGREES), default=-1)
-        for left_out in (0, 1, 2):
-            for place in places:
-                for entity in _looked_up(self.by_place, place, left_out):
-                    if (cost := self.organisations[entity].read(named)) is not None:
-                        found[entity] = min(cost, found.get(entity, 99.0))
-            for i, word in surnames:
-                rest = None
-                for entity in _looked_up(self.by_surname, word, left_out):
-                    p = self.persons[entity]
-                    d = close(word, p.surname, 2)
-                    if d <= 2:
-                        rest = rest or tuple(words[:i] + words[i + 1 :])
-                        if (beside := p.read(rest)) is not None:
-                            found[entity] = min(0.5 * d + beside, found.get(entity, 99.0))
-            if left_out == 1 and last > 0 and len(words[last]) >= 3:
-                found |= {e: c for e, c in self._begun(words, last).items() if c < found.get(e, 99.0)}
-            if found:
-                break
-        return found
-
-    def _begun(self, words: list[str], last: int) -> dict[int, float]:
-        """Readings in which the last word is the start of a surname cut off."""
-        word, rest, found = words[last], tuple(words[:last] + words[last + 1 :]), {}
-        for entity in set().union(*(self.by_start.get(k, ()) for k in (deletions(word, 1) if len(word) > 4 else (word,)))):
-            p = self.persons[entity]
-            d = 0 if p.surname.startswith(word) else min(close(word, p.surname[:n], 1) for n in range(max(3, len(word) - 1), len(word) + 2))
-            if d <= 1 and len(word) <= len(p.surname) and (beside := p.read(rest)) is not None and beside < 1:
-                found[entity] = 0.9 + 0.5 * d + beside
-        return found
-
-    def match(self, value: str | None, most: float = 2.6) -> tuple[int, float] | None:
-        """The entity a value refers to and the cost of that reading; None where it names nobody, somebody else, or two alike."""
-        if names_nobody(value):
-            return None
-        return best(self.candidates(value), most)
+    if "," in canonical and tokens(canonical.split(",")[0]) and len(tokens(canonical.split(",")[0])) == 1 and not degree:
+        words = words[1:] + words[:1]
+    middle = words[1][0] if len(words) > 2 else ""
+    return Person(words[0], middle, words[-1], degree)
+
+
+@functools.lru_cache(maxsize=100_000)
+def organisation(canonical: str) -> Organisation | None:
+    words = organisation_words(canonical)
+    return Organisation(words) if words else None
+
+
+@functools.lru_cache(maxsize=20_000)
+def near(word: str) -> frozenset[str]:
+    """What slips of up to two letters leave of a word that is known; others meet it there."""
+    return frozenset(deletions(word, 2) | deletions(squeezed(word), 1)) if len(word) <= LONGEST else frozenset((word,))
+
+
+@functools.lru_cache(maxsize=100_000)
+def typed_near(word: str, left_out: int) -> frozenset[str]:
+    if left_out == 0 or len(word) > LONGEST:
+        return frozenset((word, squeezed(word)))
+    return frozenset(deletions(word, left_out) | deletions(squeezed(word), 1))
+
+
+@functools.lru_cache(maxsize=200_000)
+def step(word: str, target: str) -> int | None:
+    """Letters to be left out of a word until it meets a known one; None where more than two."""
+    return next((n for n in (0, 1, 2) if not near(target).isdisjoint(typed_near(word, n))), None)
+
+
+@dataclass(frozen=True)
+class Value:
+    """A value as typed, taken apart."""
+
+    words: tuple[str, ...]
+    named: tuple[str, ...]
+    last: int
+
+    @property
+    def surnames(self) -> list[tuple[int, str]]:
+        return [(i, w) for i, w in enumerate(self.words) if len(w) >= 2]
+
+    @property
+    def places(self) -> list[str]:
+        return [w for w in self.named[:2] if len(w) >= 4] if len(self.named) > 1 else []
+
+    @property
+    def acronym(self) -> str:
+        return self.words[0] if len(self.words) == 1 and 3 <= len(self.words[0]) <= 6 else ""
+
+    @property
+    def begun(self) -> str:
+        """The last word, where it may be the start of a surname cut off."""
+        return self.words[self.last] if self.last > 0 and len(self.words[self.last]) >= 3 else ""
+
+    def without(self, i: int) -> tuple[str, ...]:
+        return self.words[:i] + self.words[i + 1 :]
+
+
+@functools.lru_cache(maxsize=50_000)
+def value(typed: str) -> Value:
+    words = tuple(t for t in tokens(typed) if t not in TITLES)
+    return Value(words, organisation_words(typed), max((i for i, t in enumerate(words) if t not in DEGREES), default=-1))
+
+
+def entity_keys(kind: str, canonical: str) -> Iterator[str]:
+    """Blocks that an entity enters."""
+    if kind == "person":
+        if p := person(canonical):
+            yield from (f"s:{k}" for k in near(p.surname))
+            for n in range(3, len(p.surname)):
+                start = p.surname[:n]
+                yield from (f"b:{k}" for k in (deletions(start) if 4 < n <= LONGEST else (start,)))
+    elif o := organisation(canonical):
+        yield from (f"o:{k}" for k in near(o.words[o.place]))
+        yield f"a:{o.acronym}"
+
+
+def value_keys(typed: str) -> set[str]:
+    """Blocks that a value enters: it meets all entities there that it may be read as."""
+    v = value(typed)
+    keys = {f"s:{k}" for _, w in v.surnames for k in (typed_near(w, 2) if len(w) >= 5 else (w,))}
+    keys |= {f"o:{k}" for w in v.places for k in typed_near(w, 2)}
+    if v.acronym:
+        keys.add(f"a:{v.acronym}")
+    if v.begun:
+        keys |= {f"b:{k}" for k in (deletions(v.begun) if 4 < len(v.begun) <= LONGEST else (v.begun,))}
+    return keys
+
+
+def read(typed: str, kind: str, canonical: str) -> tuple[int, float] | None:
+    """(letters left out, cost) of reading a value as an entity; None where it can't be.
+
+    The surname, or the place of an organisation, is looked for as it stands, then with one and two letters
+    left out. Words of up to four letters are surnames only as they stand, and beside something that fits.
+    """
+    v = value(typed)
+    found: dict[int, float] = {}
+
+    def keep(n: int | None, cost: float | None) -> None:
+        if n is not None and cost is not None:
+            found[n] = min(cost, found.get(n, 99.0))
+
+    if kind != "person":
+        if o := organisation(canonical):
+            if v.acronym and v.acronym == o.acronym:
+                keep(0, 0.5)
+            for place in v.places:
+                if (n := step(place, o.words[o.place])) is not None:
+                    keep(n, o.read(v.named))
+    elif p := person(canonical):
+        for i, word in v.surnames:
+            if len(word) < 5:
+                if word == p.surname and (beside := p.read(v.without(i))) is not None and beside < 1.2:
+                    keep(0, beside)
+            elif (n := step(word, p.surname)) is not None and (d := close(word, p.surname, 2)) <= 2:
+                beside = p.read(v.without(i))
+                keep(n, None if beside is None else 0.5 * d + beside)
+        if v.begun and len(v.begun) <= len(p.surname):
+            begun = v.begun
+            d = 0 if p.surname.startswith(begun) else min(close(begun, p.surname[:n], 1) for n in range(max(3, len(begun) - 1), len(begun) + 2))
+            if d <= 1 and (beside := p.read(v.without(v.last))) is not None and beside < 1:
+                keep(1, 0.9 + 0.5 * d + beside)
+    first = min(found, default=None)
+    return None if first is None else (first, found[first])

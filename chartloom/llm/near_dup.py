@@ -13,23 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import names
-from chartloom.llm.linking import again, directory_rows, index, readings
+from chartloom.llm.linking import again, link, readings
 from chartloom.operators.small import if_small
 from chartloom.session import cut
 
 #: Least share of words in common, in tenths.
 TENTHS = 6
 #: Bits of a fingerprint, and reference fingerprints whose distances make up a record's pivot table.
-BITS = 256
+BITS = 512
 PIVOTS = 32
-#: Days that one block spans.
+#: Days that one block spans, and classes that a tile of a block holds.
 SPAN = 8
-#: Records of a day from which it is cut further, by words.
-CROWDED = 5_000
-#: Rows compared at a time with a day's others.
-TILE = 512
-#: At most so many words are told to be frequent when crowded days are cut.
-FREQUENT = 50_000
+TILE_ROWS = 8_192
+#: Groups of entities that a crowded day is cut into.
+PARTIES = 16
+#: Rows compared at a time with others.
+STRIPE = 512
+#: In place of an entity: names nobody, names somebody that no directory holds.
+NOBODY, UNLISTED = -1, -2
 
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -69,43 +70,32 @@ def fingerprints(sets: list[frozenset[str]]) -> np.ndarray:
     return np.frombuffer(bytes(raw), np.uint64).reshape(len(sets), BITS // 64)
 
 
-@functools.cache
-def pivots() -> np.ndarray:
-    """Reference fingerprints: the empty one, whose distance is a record's size, and random ones."""
-    some = np.random.default_rng(7).integers(0, 1 << 63, (PIVOTS, BITS // 64), dtype=np.uint64) << np.uint64(1)
-    some |= np.random.default_rng(8).integers(0, 2, some.shape, dtype=np.uint64)
-    some[0] = 0
-    return some
-
-
 def pivot_table(prints: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to each reference fingerprint."""
-    table = np.empty((PIVOTS, len(prints)), np.int16)
-    for i, p in enumerate(pivots()):
-        table[i] = np.bitwise_count(prints ^ p).sum(axis=1)
-    return table
+    """Bits of each fingerprint in each of PIVOTS regions, a row a region.
+
+    Reference fingerprint r has all bits of region r, w of them. A print of n bits, c of them there, is n + w - 2c
+    away from it, so n and c stand for the distance. The same table gives the distances to all 2^PIVOTS unions
+    of regions, which are reference fingerprints too: n plus the sum of w - 2c over their regions.
+    """
+    return np.bitwise_count(prints.view(np.uint8).reshape(len(prints), PIVOTS, BITS // 8 // PIVOTS)).sum(axis=2).astype(np.uint8).T.copy()
 
 
-def survivors(a: slice, b: slice, table: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two slices that may share TENTHS of their words.
+def survivors(table: np.ndarray, a: slice, other: np.ndarray, b: slice, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of columns of two pivot tables, in two slices, whose greatest difference of a coordinate is at most ``most``.
 
-    Sets that share s of their words differ in at most (1 - s) / (1 + s) of their sizes together, and
-    their fingerprints in no more bits. By the triangle inequality no coordinate of their pivot tables
-    differs by more than that; pairs whose greatest difference does are discarded. Those left are held
-    against the bound by the distance of the fingerprints themselves. No pair above the threshold is lost.
+    Of all unions of regions, distances to the one of those where a has more bits than b differ most (or to the
+    one where it has fewer): by the sum of |c - c'| over all regions. By the triangle inequality that is never
+    above the Hamming distance, so no pair within ``most`` is lost. Sums wrap at 256, which only lets
+    more pairs through.
     """
-    most = (sizes[a][:, None] + sizes[b][None, :]) * (10 - TENTHS) // (10 + TENTHS)
-    kept = np.abs(table[0, a][:, None] - table[0, b][None, :]) <= most
-    for p in range(1, 8):
-        kept &= np.abs(table[p, a][:, None] - table[p, b][None, :]) <= most
-    i, j = np.nonzero(kept)
-    bound = most[i, j]
-    i, j = i + a.start, j + b.start
-    for p in range(8, PIVOTS):
-        near = np.abs(table[p, i] - table[p, j]) <= bound
-        i, j, bound = i[near], j[near], bound[near]
-    near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= bound
-    return i[near], j[near]
+    x, y = table[:, a].view(np.int8), other[:, b].view(np.int8)
+    total = np.zeros((x.shape[1], y.shape[1]), np.uint8)
+    step = np.empty(total.shape, np.int8)
+    for r in range(PIVOTS):
+        np.subtract(x[r][:, None], y[r][None, :], out=step)
+        np.abs(step, out=step)
+        np.add(total, step.view(np.uint8), out=total)
+    return np.nonzero(total <= most)
 
 
 def alike(a: frozenset[str], b: frozenset[str]) -> bool:
@@ -163,181 +153,178 @@ def _unlisted(a: str, b: str) -> bool:
     return False
 
 
-def same_party(a: str | None, b: str | None, known: names.Directory) -> bool:
-    """Whether two providers name the same person or organisation, or one of them names nobody."""
-    if names.names_nobody(a) or names.names_nobody(b) or a == b:
+Party = tuple[str | None, int | None, str | None, str | None]
+
+
+def same_party(a: Party, b: Party) -> bool:
+    """Whether two providers (as typed, entity, its kind, its name) name the same person or organisation, or one names nobody."""
+    if names.names_nobody(a[0]) or names.names_nobody(b[0]) or a[0] == b[0]:
         return True
-    x, y = known_as(a, known), known_as(b, known)
-    if x is not None and y is not None:
-        return x == y
-    if x is not None or y is not None:
-        entity, other = (x, b) if x is not None else (y, a)
-        if entity in known.persons and any(again(*r, "", True, entity, known) is not None for r in readings(other) if r[1] and r[2]):
+    if a[1] is not None and b[1] is not None:
+        return a[1] == b[1]
+    if a[1] is not None or b[1] is not None:
+        (_, _, kind, canonical), other = (a, b[0]) if a[1] is not None else (b, a[0])
+        if kind == "person" and any(again(*r, ("", "", ""), True, kind, canonical) is not None for r in readings(other) if r[1] and r[2]):
             return True
-    return _unlisted(min(a, b), max(a, b))
+    return _unlisted(min(a[0], b[0]), max(a[0], b[0]))
 
 
-_known: dict[tuple[int, str], int | None] = {}
+# ---------------------------------------------------------------- pairs
 
 
-def known_as(value: str, known: names.Directory) -> int | None:
-    key = (id(known), value)
-    if key not in _known:
-        if len(_known) > 300_000:
-            _known.clear()
-        hit = known.match(value)
-        _known[key] = hit[0] if hit else None
-    return _known[key]
+def _stripes(a: dict[str, np.ndarray], at: tuple[int, int], b: dict[str, np.ndarray], to: tuple[int, int], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of two ranges that may share TENTHS of their words, by positions; of one range with itself each pair once.
 
+    Sets that share s of their words differ in at most (1 - s) / (1 + s) of their sizes together, and their fingerprints
+    in no more bits. Pairs whose pivot tables differ by more are discarded, then those whose fingerprints do,
+    and those of two different entities.
+    """
+    for i0 in range(*at, STRIPE):
+        x = slice(i0, min(i0 + STRIPE, at[1]))
+        for j0 in range(i0 if own else to[0], to[1], 4 * STRIPE):
+            y = slice(j0, min(j0 + 4 * STRIPE, to[1]))
+            most = np.minimum((a["size"][x][:, None] + b["size"][y][None, :]) * (10 - TENTHS) // (10 + TENTHS), 255).astype(np.uint8)
+            i, j = survivors(a["table"], x, b["table"], y, most)
+            i, j = i + x.start, j + y.start
+            p, q = a["party"][i], b["party"][j]
+            kept = ((p < 0) | (q < 0) | (p == q)) & ((i < j) if own else True)
+            i, j = i[kept], j[kept]
+            bound = (a["size"][i] + b["size"][j]) * (10 - TENTHS) // (10 + TENTHS)
+            near = np.bitwise_count(a["prints"][i] ^ b["prints"][j]).sum(axis=1) <= bound
+            yield i[near], j[near]
+
+
+def block_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of a block that survive. Its own rows, where they are whole, meet each other; guests, who are
+    of earlier days or the same, meet own rows only."""
+    rows = rows.sort_by("day")
+
+    def side(part: pa.Table) -> dict[str, np.ndarray]:
+        prints = np.frombuffer(b"".join(part["print"].to_pylist()), np.uint64).reshape(len(part), BITS // 64)
+        return {"id": part["id"].to_numpy(), "day": part["day"].to_numpy(), "party": part["party"].to_numpy(), "size": part["size"].to_numpy().astype(np.int32), "prints": prints, "table": pivot_table(prints)}
+
+    guest = rows["guest"].to_numpy(zero_copy_only=False)
+    own, guests = side(rows.filter(pa.array(~guest))), side(rows.filter(pa.array(guest)))
+    whole = bool(rows["whole"][0].as_py()) if len(rows) else False
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, among in ((own, True), (guests, False)):
+        if among and not whole:
+            continue
+        for day in np.unique(a["day"]):
+            at = tuple(np.searchsorted(a["day"], [day, day + 1]))
+            to = tuple(np.searchsorted(own["day"], [day, day + 2]))
+            for i, j in _stripes(a, at, own, to, among):
+                left.append(a["id"][i])
+                right.append(own["id"][j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def representatives(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str) -> tuple[DataFrame, DataFrame]:
+    """One row for each class of records of equal day, provider and description (id = the least key), with the
+    entity that its provider is linked to, and (class, key) of all."""
+    rows = events.select(F.col(f"`{key}`").cast("long").alias("key"), full_day(date).alias("d"), F.col(f"`{provider}`").alias("provider"), F.col(f"`{description}`").alias("description"))
+    rows = rows.where(F.col("key").isNotNull() & F.col("d").isNotNull() & F.col("description").rlike(r"[\p{L}\p{N}]")).withColumn("day", F.unix_date("d")).drop("d")
+    rows = rows.withColumn("class", F.sha2(F.concat_ws("\u0000", F.col("day").cast("string"), F.coalesce("provider", F.lit("\u0001")), "description"), 256).substr(1, 32))
+    reps = cut(rows.groupBy("class").agg(F.min("key").alias("id"), F.first("day").alias("day"), F.first("provider").alias("provider"), F.first("description").alias("description")))
+    linked = link(reps.select("provider"), "provider", directory).select(F.col("spelling").alias("provider"), F.col("entity_id").alias("entity"), "kind", "canonical")
+    return reps.join(if_small(linked, 100_000), "provider", "left"), rows.select("class", "key")
 
-# ---------------------------------------------------------------- pairs
 
+def fingerprinted(reps: DataFrame) -> DataFrame:
+    """(id, day, party, bucket, size, print): what a record takes to its blocks. Records that name nobody, or somebody that no
+    directory holds, may meet all others; those of an entity meet its bucket and them."""
 
-def _verified(i: np.ndarray, j: np.ndarray, sets: list[frozenset[str]], providers: list[str | None], known: names.Directory) -> list[tuple[int, int]]:
-    return [(a, b) for a, b in zip(i.tolist(), j.tolist()) if alike(sets[a], sets[b]) and same_party(providers[a], providers[b], known)]
-
-
-def block_pairs(days: np.ndarray, guest: np.ndarray, sets: list[frozenset[str]], providers: list[str | None], known: names.Directory) -> list[tuple[int, int]]:
-    """Pairs of rows in a block, whose rows are in the order of days; guests are paired with others only."""
-    prints = fingerprints(sets)
-    sizes = np.array([len(s) for s in sets], np.int16 if max(map(len, sets), default=0) < 2_000 else np.int32)
-    table = pivot_table(prints)
-    found: list[tuple[int, int]] = []
-    for day in np.unique(days):
-        begin, end = np.searchsorted(days, [day, day + 1])
-        stop = np.searchsorted(days, day + 2)
-        host = not guest[begin]
-        for at in range(begin, end, TILE):
-            a = slice(at, min(at + TILE, end))
-            for to in range(at if host else end, stop, 4 * TILE):
-                b = slice(to, min(to + 4 * TILE, stop))
-                i, j = survivors(a, b, table, prints, sizes)
-                later = i < j
-                found += _verified(i[later], j[later], sets, providers, known)
-    return found
-
-
-def _packed(table: np.ndarray) -> list[np.ndarray]:
-    """Pivot tables as 64 bit words of 8 coordinates; cutting them off at 255 keeps differences from growing."""
-    bytes_ = np.minimum(table, 255).astype(np.uint8).T.copy()
-    return list(bytes_.view(np.int64).T.copy())
-
-
-def _within(a: str, b: str, most: Column) -> Column:
-    """Whether no coordinate of two packed pivot tables differs by more than ``most``."""
-    ok = F.lit(True)
-    for w in range(PIVOTS // 8):
-        for k in range(8):
-            at = lambda side: F.shiftrightunsigned(F.col(f"{side}.p{w}"), 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
-            ok = ok & (F.abs(at(a) - at(b)) <= most)
-    return ok
-
-
-def _crowded_pairs(reps: DataFrame, rows: tuple) -> DataFrame:
-    """(a, b) among the records of crowded days. Two sets that share TENTHS of their words share one of
-    the rarest words of each, so records are compared where they meet in such a word and in a day; the
-    pivot tables decide in the join, the words themselves after it."""
-    spark = reps.sparkSession
-    word_hash = F.expr("transform(array_distinct(regexp_extract_all(lower(description), '[\\\\p{L}\\\\p{N}]+', 0)), w -> xxhash64(w))")
-    hashed = reps.select("id", "day", "description", word_hash.alias("h"))
-    counted = hashed.select(F.explode("h").alias("w")).groupBy("w").count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    frequent = {r["w"]: r["count"] for r in counted.where(F.col("count") > max(total // FREQUENT, 1)).collect()}
-    shared = spark.sparkContext.broadcast(frequent)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [words(x) for x in batch.column(2).to_pylist()]
-            packed = _packed(pivot_table(fingerprints(sets))) if sets else [np.empty(0, np.int64)] * (PIVOTS // 8)
-            at, keys = [], []
-            for i, hs in enumerate(batch.column(3).to_pylist()):
-                prefix = len(hs) - -(-len(hs) * TENTHS // 10) + 1
-                for w in sorted(hs, key=lambda w: (often.get(w, 0), w))[:prefix]:
-                    at.append(i)
-                    keys.append(w)
-            take = np.array(at, np.int64)
-            ids, days = batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))
-            size = np.array([len(s) for s in sets], np.int32)[take] if sets else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([ids, days, pa.array(keys, pa.int64()), pa.array(size), *(pa.array(p[take]) for p in packed)], names=["id", "day", "w", "size", *(f"p{k}" for k in range(PIVOTS // 8))])
-
-    schema = "id BIGINT, day INT, w BIGINT, size INT, " + ", ".join(f"p{k} BIGINT" for k in range(PIVOTS // 8))
-    entered = hashed.mapInArrow(entries, schema)
-    left = entered.alias("a")
-    right = entered.withColumn("at", F.explode(F.array(F.col("day"), F.col("day") - 1))).alias("b")
-    most = F.floor((F.col("a.size") + F.col("b.size")) * (10 - TENTHS) / (10 + TENTHS))
-    ordered = (F.col("b.day") > F.col("a.day")) | (F.col("a.id") < F.col("b.id"))
-    met = left.join(right, (F.col("a.day") == F.col("b.at")) & (F.col("a.w") == F.col("b.w")) & ordered & (F.abs(F.col("a.size") - F.col("b.size")) <= most) & _within("a", "b", most))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    text = reps.select("id", "provider", "description")
-    both = pairs.join(text.toDF("a", "pa", "da"), "a").join(text.toDF("b", "pb", "db"), "b").select("a", "b", "pa", "pb", "da", "db")
+            sets = [words(x) for x in batch.column(4).to_pylist()]
+            entities = batch.column(3).to_pylist()
+            party = [NOBODY if names.names_nobody(p) else UNLISTED if e is None else e for p, e in zip(batch.column(2).to_pylist(), entities)]
+            rows = fingerprints(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(party, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "day", "party", "size", "print"])
+
+    # Entities get numbers from 0 on, so that the two special parties can't be taken for one.
+    entity = F.when(F.col("entity").isNotNull(), F.xxhash64("entity").bitwiseAND(F.lit((1 << 62) - 1)))
+    printed = reps.select("id", "day", "provider", entity.alias("entity"), "description").mapInArrow(made, "id BIGINT, day INT, party BIGINT, size INT, print BINARY")
+    return cut(printed.withColumn("bucket", F.when(F.col("party") < 0, F.col("party")).otherwise(F.pmod("party", F.lit(PARTIES))).cast("int")))
+
+
+def tiled(printed: DataFrame, most: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(records with their tile, places): the tiles that records are cut into, and the blocks in which tiles meet.
+
+    A span of days is one tile where it has at most ``most`` records, else each of its days is; a day of more
+    is cut by bucket, and a bucket into as many parts as it takes. Two tiles meet where their days are at most one
+    apart and their buckets may name one party. A tile's own block also takes the rows of the
+    tile of the days before, where that is a single one; parts of crowded days meet pair by pair, so no block has
+    more than about 2 * ``most`` rows.
+    """
+    cells = printed.groupBy("day", "bucket").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("day") / SPAN).cast("int"))
+    total = lambda by: cells.groupBy(by).agg(F.sum("n").alias(f"n_{by}"))
+    cells = cells.join(total("span"), "span").join(total("day"), "day")
+    by_span, by_day = F.col("n_span") <= most, F.col("n_day") <= most
+    parts = F.when(by_span | by_day, 1).otherwise(F.ceil(F.col("n") / most)).cast("int")
+    cells = cut(
+        cells.select(
+            "day", "bucket", "span", parts.alias("parts"), (by_span | by_day).alias("single"),
+            F.when(by_span, F.concat(F.lit("s"), "span")).when(by_day, F.concat(F.lit("d"), "day")).otherwise(F.concat_ws("/", F.concat(F.lit("d"), "day"), "bucket")).alias("tile"),
+            F.when(by_span, F.col("span") * SPAN).otherwise(F.col("day")).alias("lo"), F.when(by_span, F.col("span") * SPAN + SPAN - 1).otherwise(F.col("day")).alias("hi"),
+        )
+    )
+    part = lambda n: F.when(F.col("parts") == 1, F.col("tile")).otherwise(F.concat_ws("#", "tile", n))
+    tiles = cells.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n"), "*").select(part(F.col("n").cast("string")).alias("tile"), "span", "lo", "hi", "single", F.when(~F.col("single"), F.col("bucket")).alias("bucket")).distinct()
+    a, b = tiles.withColumn("at", F.explode(F.array(F.col("span"), F.col("span") + 1))).alias("a"), tiles.alias("b")
+    ordered = F.struct("a.lo", "a.tile") < F.struct("b.lo", "b.tile")
+    fits = F.coalesce((F.col("a.bucket") == F.col("b.bucket")) | (F.col("a.bucket") < 0) | (F.col("b.bucket") < 0), F.lit(True))
+    met = a.join(b, (F.col("a.at") == F.col("b.span")) & ordered & (F.col("b.lo") <= F.col("a.hi") + 1) & fits)
+    own = F.col("a.single")
+    block = F.when(own, F.col("b.tile")).otherwise(F.concat_ws(" ", "a.tile", "b.tile"))
+    place = lambda tile, guest, of: F.struct(F.col(f"{tile}.tile").alias("tile"), block.alias("block"), F.lit(guest).alias("guest"), own.alias("whole"), (F.col(f"{of}.lo") - 1).alias("first"), (F.col(f"{of}.hi") + 1).alias("last"))
+    cross = met.select(F.explode(F.array_compact(F.array(place("a", True, "b"), F.when(~own, place("b", False, "a"))))).alias("p")).select("p.*")
+    places = tiles.select("tile", F.col("tile").alias("block"), F.lit(False).alias("guest"), F.lit(True).alias("whole"), F.col("lo").alias("first"), F.col("hi").alias("last")).unionByName(cross)
+    where = cells.select("day", "bucket", "parts", "tile")
+    placed = printed.join(if_small(where, 200_000), ["day", "bucket"]).withColumn("tile", part(F.pmod(F.xxhash64("id"), "parts").cast("string"))).drop("parts", "bucket")
+    return placed, places
+
+
+def class_pairs(reps: DataFrame, most: int = TILE_ROWS) -> DataFrame:
+    """(a, b): ids of all pairs of classes that describe one occurrence."""
+    placed, places = tiled(fingerprinted(reps), most)
+    rows = placed.join(if_small(cut(places), 200_000), "tile").where(F.col("day").between(F.col("first"), F.col("last"))).select("block", "guest", "whole", "id", "day", "party", "size", "print")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        a, b = block_pairs(table)
+        return pa.table({"a": a, "b": b})
+
+    near = cut(rows.groupBy("block").applyInArrow(pairs, "a BIGINT, b BIGINT"))
+    of = lambda side: reps.select(F.col("id").alias(side), F.struct("provider", "entity", "kind", "canonical", "description").alias(f"of_{side}"))
+    both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index(rows)
+        party = lambda x: (x["provider"], x["entity"], x["kind"], x["canonical"])
         for batch in batches:
-            kept = [i for i, (pa_, pb_, da, db) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))) if alike(words(da), words(db)) and same_party(pa_, pb_, known)]
+            kept = [i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if alike(words(x["description"]), words(y["description"])) and same_party(party(x), party(y))]
             part = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
     return both.mapInArrow(verified, "a BIGINT, b BIGINT")
 
 
-def representatives(events: DataFrame, key: str, date: str, provider: str, description: str) -> tuple[DataFrame, DataFrame]:
-    """One row for each class of records of equal day, provider and description (id = the least key), and (class, key) of all."""
-    rows = events.select(F.col(f"`{key}`").cast("long").alias("key"), full_day(date).alias("d"), F.col(f"`{provider}`").alias("provider"), F.col(f"`{description}`").alias("description"))
-    rows = rows.where(F.col("key").isNotNull() & F.col("d").isNotNull() & F.col("description").rlike(r"[\p{L}\p{N}]")).withColumn("day", F.unix_date("d")).drop("d")
-    rows = rows.withColumn("class", F.sha2(F.concat_ws("\u0000", F.col("day").cast("string"), F.coalesce("provider", F.lit("\u0001")), "description"), 256).substr(1, 32))
-    reps = rows.groupBy("class").agg(F.min("key").alias("id"), F.first("day").alias("day"), F.first("provider").alias("provider"), F.first("description").alias("description"))
-    return reps, rows.select("class", "key")
-
-
-def class_pairs(reps: DataFrame, directory: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(a, b): ids of all pairs of classes that describe one occurrence."""
-    rows = directory_rows(directory)
-    per_day = reps.groupBy("day").count().where(F.col("count") > crowded).select(F.col("day").alias("busy"))
-    # A day next to a crowded one is cut like it, so that pairs across midnight meet on one way.
-    busy = cut(per_day.select(F.explode(F.array(F.col("busy") - 1, F.col("busy"), F.col("busy") + 1)).alias("busy")).distinct())
-    some = not busy.isEmpty()
-    calm = reps.join(if_small(busy, 4_000_000), reps["day"] == F.col("busy"), "left_anti") if some else reps
-    block = F.floor(F.col("day") / SPAN).cast("int")
-    places = F.when(F.pmod("day", F.lit(SPAN)) == SPAN - 1, F.array(F.struct(block.alias("block"), F.lit(False).alias("guest")), F.struct((block + 1).alias("block"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(block.alias("block"), F.lit(False).alias("guest"))))
-    placed = calm.select("id", "day", "provider", "description", F.explode(places).alias("p")).select("p.block", "p.guest", "id", "day", "provider", "description")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        table = table.sort_by("day")
-        days, guest = table["day"].to_numpy(), table["guest"].to_numpy()
-        found = block_pairs(days, guest, [words(x) for x in table["description"].to_pylist()], table["provider"].to_pylist(), index(rows))
-        ids = table["id"].to_numpy()
-        ij = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[ij[:, 0]], "b": ids[ij[:, 1]]})
-
-    found = placed.groupBy("block").applyInArrow(pairs, "a BIGINT, b BIGINT")
-    if some:
-        # Days beside a busy one may have calm neighbors beyond; their pairs meet here as well.
-        near = busy.select(F.explode(F.array(F.col("busy") - 1, F.col("busy"), F.col("busy") + 1)).alias("near")).distinct()
-        packed = reps.join(if_small(near, 4_000_000), reps["day"] == F.col("near"), "left_semi")
-        found = found.unionByName(_crowded_pairs(packed, rows)).distinct()
-    return found
-
-
-def near_duplicates(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str, crowded: int = CROWDED) -> DataFrame:
+def near_duplicates(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b), a < b: keys of all pairs of records whose days are at most one apart, whose providers name
     one party or nobody, and whose descriptions share 0.6 of their words.
 
-    Records equal in day, provider and description form a class, and classes are compared. A class
-    enters the block of its days; there its words become a fingerprint, its distances to PIVOTS reference
-    fingerprints a pivot table, pairs are discarded by the greatest difference of a coordinate, and the
-    survivors verified by their words and providers. Days of more than ``crowded`` classes are cut further by
-    rare words. At the end classes become records again.
+    Records equal in day, provider and description form a class, and classes are compared. A class's words become
+    a fingerprint, its distances to the reference fingerprints a pivot table. Classes are cut into tiles of at most
+    ``tile_rows`` by days and, where days are crowded, by party and number; tiles that may hold pairs meet in blocks.
+    There pairs are discarded by the greatest difference of a coordinate, then by their fingerprints, and
+    the survivors verified by their words and providers. At the end classes become records again.
 
     Records without key, full date or words have no pairs; a null or empty provider names nobody.
     Repeated rows count once. Empty tables give no rows; other columns are ignored.
     """
-    reps, members = representatives(events, key, date, provider, description)
-    reps = cut(reps)
+    reps, members = representatives(events, directory, key, date, provider, description)
     members = cut(members.distinct())
     names_of = reps.select("class", "id")
-    pairs = class_pairs(reps.select("id", "day", "provider", "description"), directory, crowded)
+    pairs = class_pairs(reps, tile_rows)
     copied = members.groupBy("class").count().where("count > 1").select("class")
     copies = members.join(copied, "class")
     within = copies.alias("x").join(copies.alias("y"), (F.col("x.class") == F.col("y.class")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -350,15 +337,14 @@ def near_duplicates(events: DataFrame, directory: DataFrame, key: str, date: str
     return grown.select("a", "b").unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicate_groups(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str, crowded: int = CROWDED) -> DataFrame:
+def near_duplicate_groups(events: DataFrame, directory: DataFrame, key: str, date: str, provider: str, description: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(key, group_id) of every record: the least key among those that pairs of near_duplicates connect it with.
 
     Works on classes: copies, however many, are never expanded into pairs. Records without a full date or words
     are groups of their own; null keys are left out; repeated keys count once.
     """
-    reps, members = representatives(events, key, date, provider, description)
-    reps = cut(reps)
-    labels = groups(reps, "id", class_pairs(reps.select("id", "day", "provider", "description"), directory, crowded))
+    reps, members = representatives(events, directory, key, date, provider, description)
+    labels = groups(reps, "id", class_pairs(reps, tile_rows))
     by_class = reps.select("class", "id").join(labels, "id").select("class", "group_id")
     grouped = members.distinct().join(by_class, "class").groupBy("key").agg(F.min("group_id").alias("group_id"))
     all_ = events.select(F.col(f"`{key}`").cast("long").alias("_key")).where("_key IS NOT NULL").distinct()

@@ -65,7 +65,12 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "directory").select("entity_id", F.col("canonical_name").alias("spelling"))
-    return links(spark, sf_dir).join(own, ["entity_id", "spelling"], "left_anti")
+    return links(spark, sf_dir).select("entity_id", "spelling").join(own, ["entity_id", "spelling"], "left_anti")
+
+
+@query()
+def p3_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(spark, sf_dir).groupBy("merge_round", "level").agg(F.count("*").alias("links"))
 
 
 @query()
