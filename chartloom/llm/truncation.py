@@ -17,6 +17,8 @@ from chartloom.session import cut
 
 #: Occurrences from which a word or a run of words is known.
 KNOWN = 3
+#: The same as a share of the occurrences of the words that begin with it: in a large corpus stubs occur too.
+KNOWN_SHARE = 0.001
 #: Share of a run's occurrences that end a sentence or line, below which a text that stops there is cut.
 RARELY_ENDS = 0.1
 #: The same where the source marked the place or the text is as long as its source allows.
@@ -32,10 +34,10 @@ CUT_SHARE, SURELY = 0.1, 5
 USUAL_SHARE = 0.002
 #: Share of a source's texts that have exactly its greatest length, from which that is a limit.
 LIMIT_SHARE = 0.01
-#: Bits of the filter of runs at texts' ends, as a power of two.
-FILTER_BITS = 22
-#: Runs counted in a worker before they are handed on.
-HELD_RUNS = 1_500_000
+#: Bits of the filter of runs at texts' ends for each distinct run, and least and most of all, as powers of two.
+BITS_A_RUN, FILTER_BITS = 16, (16, 28)
+#: Runs counted in a worker before they are merged, and spelled words it holds before they are handed on.
+HELD_RUNS, HELD_WORDS = 1_500_000, 500_000
 
 #: What sources put behind a cut, besides ellipses and replacement characters.
 MARK = re.compile(r"[\[(<]\s?(?:truncated|cut(?: off)?|continued|cont(?:'d|\.)?|more|snip|\.\.\.|…)\s?[\])>]\Z", re.IGNORECASE)
@@ -168,10 +170,11 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
     and how many of them are short."""
     tallies = {kind: _Tally() for kind in (1, 2, 3, 4)}
     spelled: dict[int, str] = {}
+    low = np.uint64(len(bits) * 64 - 1)
     stop_hashes = np.array([_hashes[s + "\x1e"] for s in ".!?"], np.uint64)
 
     def asked(k: np.ndarray) -> np.ndarray:
-        return (bits[(k & np.uint64((1 << FILTER_BITS) - 1)) >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return (bits[(k & low) >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def count(texts: list[str]) -> None:
         parts = [_split(f"{_BEGIN}{_BEGIN}" + _prepared(base(t)[0]).replace("\n", f"\n{_BEGIN}{_BEGIN}")) for t in texts]
@@ -202,17 +205,25 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
         tallies[4].add(k[wanted], 0)
         tallies[4].add(k[wanted & (sizes <= ITEM_WORDS)], 1)
 
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for i in range(0, len(texts), 256):
-            count(texts[i : i + 256])
-    for kind, tally in tallies.items():
+    def handed(kind: int) -> Iterator[pa.RecordBatch]:
+        tally = tallies[kind]
         tally.merge()
         for i in range(0, len(tally.keys), 50_000):
             part = slice(i, i + 50_000)
             words = [spelled[k] for k in tally.keys[part].tolist()] if kind == 1 else [None] * len(tally.keys[part])
             columns = [pa.array(c[part]) for c in tally.counts]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, np.int32)), pa.array(tally.keys[part].view(np.int64)), pa.array(words, pa.string()), *columns], names=["kind", "key", "word", "n", "ends", "stops"])
+        tallies[kind] = _Tally()
+
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for i in range(0, len(texts), 256):
+            count(texts[i : i + 256])
+            if len(spelled) > HELD_WORDS:
+                yield from handed(1)
+                spelled.clear()
+    for kind in (1, 2, 3, 4):
+        yield from handed(kind)
 
 
 def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
@@ -222,7 +233,8 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
     ends a sentence or line. Words that occur KNOWN times inside texts make a trie, kept as a table of
     all their prefixes with the occurrences below each.
 
-    A text is cut where its last word is unknown and a proper prefix of known ones (mid_word), or
+    A text is cut where its last word is unknown and a proper prefix of known ones (mid_word), unknown being less
+    than KNOWN occurrences, or than KNOWN_SHARE of those of the words that go on from it; or
     where the run it stops with rarely ends anything: by three tokens, by fewer where those are unknown.
     The bar is higher where the source left a mark (an ellipsis, a replacement character) or the text
     has exactly the greatest length of its source, shared by LIMIT_SHARE of its texts; short
@@ -255,13 +267,14 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
     size = once.agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars")).first()
     by_chance = CUT_SHARE * size["texts"] / max(size["chars"] or 0, 1)
 
-    # A filter of fixed size tells which runs stand at any text's end.
-    ends = once.select(F.explode(F.concat("keys", F.when(F.col("alt").isNotNull(), F.array("alt")).otherwise(F.array().cast("array<bigint>")))).alias("k"))
-    low = F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    # A filter tells which runs stand at any text's end; it has room for all there are.
+    ends = cut(once.select(F.explode(F.concat("keys", F.when(F.col("alt").isNotNull(), F.array("alt")).otherwise(F.array().cast("array<bigint>")))).alias("k")).distinct())
+    room = min(max((ends.count() * BITS_A_RUN - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    low = F.col("k").bitwiseAND(F.lit((1 << room) - 1))
     words = ends.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(k & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in words.toLocalIterator():  # at most 65,536 rows
-        bits[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
+    bits = np.zeros(1 << (room - 6), np.uint64)
+    set_ = words.toArrow()  # no more rows than the filter has words, 4 million at most
+    bits[set_["w"].to_numpy()] = set_["b"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)
     counted = rows.where("_text <> ''").select("_hash", "_text").dropDuplicates(["_hash"]).select("_text").mapInArrow(lambda batches: _counted(batches, shared.value), "kind INT, key BIGINT, word STRING, n BIGINT, ends BIGINT, stops BIGINT")
     counts = cut(counted.groupBy("kind", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("stops").alias("stops")))
@@ -305,7 +318,7 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
         lost = F.when(F.col(f"i{k}") >= KNOWN, (F.col(f"e{k}") < bar * F.col(f"i{k}")) & ~usual[k]).when(usual[k], F.lit(False)).otherwise(lost)
     # An item may end with any word that ends sentences; it is cut behind a word like "the".
     lost = F.when(F.col("item"), (F.col("i1") >= KNOWN) & (F.col("e1") + F.col("s1") < ITEM_ENDS * F.col("i1")) & ~usual[2] & ~usual[3]).otherwise(lost)
-    mid_word = (below > 0) & (F.col("i1") < KNOWN) & ~(usual[2] & often[2]) & ~(usual[3] & often[3])
+    mid_word = (below > 0) & (F.col("i1") < F.greatest(F.lit(KNOWN), KNOWN_SHARE * below)) & ~(usual[2] & often[2]) & ~(usual[3] & often[3])
     stop = F.col("i3") + F.col("i5")
     by_stop = F.col("alt").isNotNull() & (stop >= KNOWN) & (F.col("i3") < bar * stop)
     lost = F.when(F.col("last_token").endswith("\x1e"), by_stop).otherwise(mid_word | lost)
@@ -313,5 +326,6 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
 
 
 def rates(found: DataFrame, source: str) -> DataFrame:
-    """(source, texts, truncated, rate, at_limit) of each source; texts counts null and empty ones too."""
-    return found.groupBy(source).agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("rate"), F.count_if("at_limit").alias("at_limit"))
+    """(source, texts, truncated, rate, mid_word, at_limit) of each source; texts counts null and empty ones too,
+    mid_word the truncated ones whose last word told it."""
+    return found.groupBy(source).agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("rate"), F.count_if(F.col("mid_word") & F.col("truncated")).alias("mid_word"), F.count_if("at_limit").alias("at_limit"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chartloom.llm import truncation
@@ -53,6 +55,32 @@ def test_copies_are_no_evidence(spark, whole):
     assert alone[1000].truncated and alone[2000].truncated and all(r.truncated for k, r in found.items() if k >= 1000)
 
 
+def test_stubs_that_occur_inside_texts(spark, whole):
+    """In a large corpus the half of a word occurs too, here in six texts; against the whole word it stays rare."""
+    rows = [(i, "s", f"{t} Note {i} says the therapist continued therapy with the therapist today.") for i, t in enumerate(whole * 20)]
+    rows = [(i, s, t.replace("the therapist continued", "the therapis continued", 1) if i % 1500 == 7 else t) for i, s, t in rows]
+    rows += [(90_000 + i, "s", f"{t} Note {i} says the therapis") for i, t in enumerate(whole[:4])]
+    found = {r.doc_id: r for r in truncation.truncated(spark.createDataFrame(rows, DOC).repartition(4), "doc_id", "source", "text").where("doc_id >= 90000").collect()}
+    assert len(found) == 4 and all(r.truncated and r.mid_word for r in found.values())
+
+
+def test_words_are_handed_on_in_parts(spark, sf, monkeypatch):
+    texts = [r.text for r in table(spark, sf, "documents").where("text <> ''").select("text").limit(60).collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts * 10)], names=["text"])
+
+    def counts():
+        got = {}
+        for b in truncation._counted(iter([batch]), np.full(1 << 10, (1 << 64) - 1, np.uint64)):
+            for r in b.to_pylist():
+                old = got.get((r["kind"], r["key"]), (0, 0, 0))
+                got[r["kind"], r["key"]] = tuple(x + r[c] for x, c in zip(old, ("n", "ends", "stops")))
+        return got
+
+    at_once = counts()
+    monkeypatch.setattr(truncation, "HELD_WORDS", 10)
+    assert counts() == at_once and len(at_once) > 1_000
+
+
 def test_marks():
     assert truncation.base("abc de …") == ("abc de", True) and truncation.base("abc�") == ("abc", True) and truncation.base("x [truncated]\n") == ("x", True)
     assert truncation.base("abc. \n") == ("abc.", False) and truncation.base("abc") == ("abc", False) and truncation.base(" … ")[0] == ""
