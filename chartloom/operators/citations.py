@@ -67,7 +67,10 @@ def match_pages(entries: DataFrame, pages: DataFrame, within: list[str], thresho
     term = entries.select("entry_id", *within, F.explode("terms").alias("t")).select("entry_id", *within, "t.*")
     wanted = term.withColumn("_value", F.when(F.col("fuzzy"), normalized_for_match(F.col("value"))).otherwise(F.lower("value")))
     hit = F.when(F.col("fuzzy"), F.contains("_norm", "_value")).otherwise(F.contains("_low", "_value"))
-    scores = wanted.join(page_text, within).where(hit).groupBy("entry_id", "absolute_page").agg(F.sum("weight").alias("score"))
+    # A term that many entries of an exhibit share is looked for once on each page.
+    asked = wanted.select(*within, "_value", "fuzzy").distinct()
+    hits = asked.join(page_text, within).where(hit).select(*within, "_value", "fuzzy", "absolute_page")
+    scores = wanted.join(hits, [*within, "_value", "fuzzy"]).groupBy("entry_id", "absolute_page").agg(F.sum("weight").alias("score"))
     by_page = Window.partitionBy("entry_id").orderBy("absolute_page")
     beside = scores.withColumns({"_before": F.max("score").over(by_page.rangeBetween(-1, -1)), "_after": F.max("score").over(by_page.rangeBetween(1, 1))})
     near = threshold * 0.7

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.operators.prefix import numbered
+
 # Accepted kinds of visits, the fallback, and what fills missing members.
 VISIT_TYPES = (
     "office_visit", "imaging_report", "therapy_eval", "lab_result", "surgical_report", "emergency_visit", "medical_source_statement",
@@ -80,9 +82,10 @@ def validated(entries: DataFrame, exhibit: str) -> DataFrame:
     )
 
 
-def is_sparse(visit_type: Column, occurrence: Column, fields: Column | None = None) -> Column:
+def is_sparse(visit_type: Column, occurrence: Column, fields: Column | None = None, said: Column | None = None) -> Column:
     """Whether an entry says next to nothing: no member of ``fields`` (or the fallback ones) is a text of
-    more than ten characters, a filled list or an object with a filled member. ``occurrence`` is a map of JSON texts."""
+    more than ten characters, a filled list or an object with a filled member. ``occurrence`` is a map of JSON texts.
+    Where it is null, ``said`` may hold an occurrence that is plain text: it is sparse below twenty characters."""
     wanted = F.array(*map(F.lit, FALLBACK_FIELDS)) if fields is None else F.array_union(fields, F.array(*map(F.lit, FALLBACK_FIELDS)))
     value = lambda kv: F.trim(kv["value"])
     says = lambda kv: F.array_contains(wanted, kv["key"]) & F.coalesce(
@@ -91,7 +94,11 @@ def is_sparse(visit_type: Column, occurrence: Column, fields: Column | None = No
         .otherwise(F.length(value(kv)) > 10),
         F.lit(False),
     )
-    return (F.coalesce(visit_type, F.lit("")) == "") | occurrence.isNull() | ~F.exists(F.map_entries(occurrence), says)
+    by_members = occurrence.isNull() | ~F.exists(F.map_entries(occurrence), says)
+    if said is not None:
+        short = F.length(F.regexp_replace(said, r"^\s+|\s+$", "")) < 20
+        by_members = F.when(occurrence.isNull() & said.isNotNull(), short).otherwise(by_members)
+    return (F.coalesce(visit_type, F.lit("")) == "") | by_members
 
 
 def is_empty(occurrence: Column) -> Column:
@@ -147,9 +154,8 @@ def recovered(entries: DataFrame, second: DataFrame, keys: list[str]) -> DataFra
 def consumed(sparse: DataFrame, retried: DataFrame, keys: list[str]) -> DataFrame:
     """Retried rows take sparse rows of the same key one for one, in order; (keys, sparse_seq, retry_seq, outcome):
     filled, appended (no sparse row was left) or leftover."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
-    left = sparse.select(*keys, "seq").withColumn("_n", number).withColumnRenamed("seq", "sparse_seq")
-    right = retried.select(*keys, "seq").withColumn("_n", number).withColumnRenamed("seq", "retry_seq")
+    left = numbered(sparse.select(*keys, "seq"), keys, ["seq"]).withColumnRenamed("seq", "sparse_seq")
+    right = numbered(retried.select(*keys, "seq"), keys, ["seq"]).withColumnRenamed("seq", "retry_seq")
     both = left.join(right, [*keys, "_n"], "full")
     return both.select(*keys, "sparse_seq", "retry_seq", F.when(F.col("sparse_seq").isNull(), "appended").when(F.col("retry_seq").isNull(), "leftover").otherwise("filled").alias("outcome"))
 

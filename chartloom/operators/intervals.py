@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.operators.prefix import running_totals
+from chartloom.operators.prefix import SLICE, running, sliced
 
-#: Positions in a bucket of the sweep; a key with n distinct boundaries is shared by up to n / SPAN tasks.
-SPAN = 4096
 
-
-def sweep(df: DataFrame, key: str, start: str, end: str, span: int = SPAN) -> DataFrame:
+def sweep(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, kind, start, end) of the periods and gaps of each key, under the names passed in.
 
     Each range becomes a plus event at its start and a minus event after its end. Events of one
@@ -34,10 +31,9 @@ def sweep(df: DataFrame, key: str, start: str, end: str, span: int = SPAN) -> Da
         .agg(F.sum("_step").alias("_step"))
         .where("_step <> 0")
     )
-    bucket = F.floor(F.col("_at") / span)
-    active = running_totals(events, ["_key"], "_at", bucket, {"_active": "_step"})
-    turns = active.where("_active = 0 OR _active = _step").select("_key", "_at", (F.col("_active") > 0).cast("long").alias("_opens"))
-    numbered = running_totals(turns, ["_key"], "_at", bucket, {"_number": "_opens"})
+    active = running(sliced(events, ["_key"], ["_at"]), ["_key"], ["_at"], {"_active": ("sum", "_step")})
+    turns = active.where("_active = 0 OR _active = _step").select("_key", "_at", SLICE, (F.col("_active") > 0).cast("long").alias("_opens"))
+    numbered = running(turns, ["_key"], ["_at"], {"_number": ("sum", "_opens")})
     # The n-th start opens period n and closes gap n - 1; the n-th end closes period n and opens gap n.
     opens = F.col("_opens") == 1
     part = lambda kind, number, at, is_start: F.struct(F.lit(kind).alias("kind"), number.alias("n"), F.when(is_start, at).alias("a"), F.when(~is_start, at).alias("b"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.operators.prefix import numbered
+from chartloom.operators.small import if_small
+
 
 def treatment_gaps(rows: DataFrame, keys: list[str], date: str, least: int = 30) -> DataFrame:
     """(keys, gap_start, gap_end, days, severity) between consecutive dates at least ``least`` days apart."""
@@ -18,8 +21,12 @@ def treatment_gaps(rows: DataFrame, keys: list[str], date: str, least: int = 30)
 def trends(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """(keys, readings, mean, peak, peak_at, low, low_at, trend): the trend compares the mean of the later half of
     the readings with the earlier one's; of equal extremes the first counts."""
-    by = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_n": F.row_number().over(by.orderBy(at, value)), "_all": F.count("*").over(by)})
+    known = rows.where(F.col(value).isNotNull()).select(*keys, at, value)
+    counts = known.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_all"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = numbered(known, keys, [at, value]).join(if_small(counts), same)
     early, late = F.col("_n") <= F.ceil(F.col("_all") / 2), F.col("_n") > F.floor(F.col("_all") / 2)
     summed = ranked.groupBy(*keys).agg(
         F.count("*").alias("readings"),

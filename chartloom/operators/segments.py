@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.operators.prefix import SLICE, numbered, running, sliced
+
 # Titles of exhibits, and of sections in the order in which they are tried.
 EXHIBIT_TITLES = (r"\d+[A-F]\s*[-:]", r"Exhibit\s+[A-Z0-9]+", r"Ex\.\s*[A-Z0-9]+", r"Attachment\s+[A-Z0-9]+", r"Appendix\s+[A-Z0-9]+", r"Tab\s+[A-Z0-9]+")
 SECTION_TITLES = {
@@ -46,17 +48,19 @@ def section_id(exhibit: Column, letters_only: bool = True) -> Column:
 def end_pages(toc: DataFrame, page_count: int | None = None) -> DataFrame:
     """Adds page_end: the page before the next bookmark of the same or a higher level, else the last page.
 
-    ``toc`` has case_id, ord, level, page_start and, without ``page_count``, total_pages. The next
-    bookmark of each level is one window, so a case's bookmarks are read once however deep they nest.
+    ``toc`` has case_id, ord, level, page_start and, without ``page_count``, total_pages. Read backwards, the
+    next bookmark of each level that occurs is a running minimum, so a case of any size and depth is read once.
     """
-    levels = range(1, 7)
-    after = Window.partitionBy("case_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    nexts = {k: F.first(F.when(F.col("level") <= k, F.col("page_start")), ignorenulls=True).over(after) for k in levels}
-    following = nexts[6]
-    for k in reversed(levels):
-        following = F.when(F.col("level") <= k, nexts[k]).otherwise(following)
+    levels = sorted(r[0] for r in toc.select("level").where("level IS NOT NULL").distinct().collect())  # no more than bookmarks nest deep
+    if not levels:
+        return toc.withColumn("page_end", F.col("page_start"))  # an empty table, or one that says no level
+    marked = toc.withColumn("_back", -F.col("ord").cast("long")).withColumns({f"_at{k}": F.when(F.col("level") <= level, F.struct("ord", "page_start")) for k, level in enumerate(levels)})
+    rows = running(sliced(marked, ["case_id"], ["_back"]), ["case_id"], ["_back"], {f"_to{k}": ("min", f"_at{k}") for k in range(len(levels))}, inclusive=False)
+    following = F.lit(None).cast("int")
+    for k, level in enumerate(levels):
+        following = F.when(F.col("level") == level, F.col(f"_to{k}.page_start")).otherwise(following)
     last = F.lit(page_count) if page_count is not None else F.col("total_pages")
-    return toc.withColumn("page_end", F.greatest(F.coalesce(following - 1, last), F.col("page_start")))
+    return rows.withColumn("page_end", F.greatest(F.coalesce(following - 1, last), F.col("page_start"))).drop(SLICE, "_back", *(f"_{x}{k}" for x in ("at", "to") for k in range(len(levels))))
 
 
 def f_exhibits(toc: DataFrame, page_count: Column, most_pages: int | None = 50) -> DataFrame:
@@ -105,8 +109,19 @@ def latest_dde(exhibits: DataFrame) -> DataFrame:
     return exhibits.where(is_dde(F.col("title"))).groupBy("case_id").agg(F.max_by(F.struct("exhibit_id", "title", "page_start"), F.struct("page_start", -F.col("ord"))).alias("dde")).select("case_id", "dde.*")
 
 
-# Titles of determination exhibits.
-DDE_TITLES = ("DDE", "DISABILITY DETERMINATION EXPLANATION", "DISABILITY DETERMINATION", "DETERMINATION EXPLANATION", "INITIAL DETERMINATION", "RECONSIDERATION DETERMINATION")
+# What the titles of determination exhibits hold.
+DDE_TITLES = (
+    "DDE", "DISABILITY DETERMINATION", "RFC ASSESSMENT", "RESIDUAL FUNCTIONAL CAPACITY", "PRTF", "PSYCHIATRIC REVIEW TECHNIQUE",
+    "STATE AGENCY", "MEDICAL CONSULTANT", "PSYCHOLOGICAL CONSULTANT", "CASE ANALYSIS", "RATIONALE", "4734",
+)
+# Words of a medical exhibit's text.
+MEDICAL_WORDS = ("medical", "doctor", "hospital", "treatment", "diagnosis", "patient")
+
+
+def is_medical_exhibit(text: Column, exhibit: Column) -> Column:
+    """Whether an exhibit is one of section F by its id, or its text speaks of treatment."""
+    up, low = F.upper(F.coalesce(exhibit, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    return up.contains("F:") | up.contains("F@") | up.endswith("F") | low.rlike("|".join(MEDICAL_WORDS))
 
 
 def is_dde(title: Column) -> Column:
@@ -139,5 +154,6 @@ def is_scanned(text: Column, has_large_image: Column, raw_most: int = 150, clean
 
 def batches(rows: DataFrame, keys: list[str], order: str, size: int = 10) -> DataFrame:
     """Consecutive rows in batches: keys, batch, first and last of ``order``, and how many."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    n = F.col("_n") - 1
+    rows = numbered(rows, keys, [order])
     return rows.withColumn("batch", F.floor(n / size)).groupBy(*keys, "batch").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows_in_batch"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import citations as cite
 from chartloom.functions import dates
-from chartloom.operators import chronology, chunks, citations, entries, repair, segments
+from chartloom.operators import chronology, chunks, citations, entries, repair, routing, segments
+from chartloom.operators.prefix import numbered
 from chartloom.session import cut
-from chartloom.sources.providers import Provider, extract
+from chartloom.sources.providers import Provider, VisionProvider, extract, extract_images
 
 KEYS = ["case_id", "exhibit_id"]
 
@@ -25,6 +26,7 @@ class Options:
     #: Pages of each exhibit that are read, from its first; all by default.
     pages_per_exhibit: int | None = None
     calls_per_minute: int | None = 50
+    images_per_call: int = 10
 
 
 def exhibits(toc: DataFrame, page_counts: DataFrame, options: Options = Options()) -> DataFrame:
@@ -68,6 +70,31 @@ def cited(found: DataFrame, pages: DataFrame, options: Options = Options()) -> D
     return numbered.join(placed.select("entry_id", "absolute_page", "match_score", "confidence", "match_method", text.alias("source")), "entry_id", "left")
 
 
+def image_batches(images: DataFrame, found: DataFrame, options: Options = Options()) -> DataFrame:
+    """Scanned pages (case_id, page, image) of exhibits in batches: exhibit_id (a key of case and exhibit), batch, pages, images and the exhibit's start."""
+    index = citations.page_index(found.select("case_id", "exhibit_id", F.col("page_start").alias("start_page"), F.col("last_read").alias("end_page"), "ord"), ["case_id"])
+    placed = images.where("image IS NOT NULL").select("case_id", "page", "image").join(index, ["case_id", "page"])
+    at = numbered(placed.select("case_id", "exhibit_id", "page"), KEYS, ["page"]).withColumn("batch", F.floor((F.col("_n") - 1) / options.images_per_call)).drop("_n")
+    # Only places are numbered; the images join their batch afterwards, a bounded number each.
+    batched = placed.join(at, ["case_id", "exhibit_id", "page"]).groupBy(*KEYS, "batch").agg(F.array_sort(F.collect_list(F.struct("page", "image", "relative_page"))).alias("p"))
+    return batched.select(F.to_json(F.struct(*KEYS)).alias("exhibit_id"), "batch", F.col("p.page").alias("pages"), F.col("p.image").alias("images"), (F.col("p.page")[0] - F.col("p.relative_page")[0] + 1).alias("start"))
+
+
+def seen(batches: DataFrame, provider: VisionProvider, options: Options = Options()) -> DataFrame:
+    """Validated entries read from images, each citing the pages of its batch; failed batches give none."""
+    held = cut(batches)
+    answers = cut(extract_images(held, provider, per_worker=options.calls_per_minute))
+    placed = answers.where("error IS NULL").join(held.select("exhibit_id", F.col("batch").cast("int").alias("chunk_index"), "pages", "start"), ["exhibit_id", "chunk_index"])
+    read = repair.entries(placed.withColumn("_answer", F.to_json(F.struct("exhibit_id", "chunk_index", "pages", "start"))), "_answer", "response")
+    of = F.from_json("_answer", "exhibit_id STRING, chunk_index INT, pages ARRAY<INT>, start INT")
+    rows = read.withColumn("_p", of).select(F.from_json("_p.exhibit_id", "case_id STRING, exhibit_id STRING").alias("_k"), "_p.*", "seq", F.from_json("entry", "map<string,string>").alias("entry")).select("_k.case_id", "_k.exhibit_id", "chunk_index", "pages", "start", "seq", "entry")
+    checked = entries.validated(rows, "exhibit_id")
+    first, last = F.col("pages")[0], F.element_at("pages", -1)
+    relative = lambda p: (p - F.col("start") + 1).cast("int")
+    text = cite.citation(first, F.col("exhibit_id"), relative(first), F.when(last > first, last), F.when(last > first, relative(last)), F.lit(False))
+    return checked.withColumns({"seq": F.col("chunk_index") * 1_000_000 + F.col("seq"), "absolute_page": first, "match_score": F.lit(0.0), "confidence": F.lit(0.95), "match_method": F.lit("vision"), "source": text})
+
+
 def chronology_of(found: DataFrame) -> DataFrame:
     """Dated rows with rendered occurrences: lab panels grouped, duplicates dropped."""
     occurrence = F.coalesce(F.from_json("occurrence", "map<string,string>"), F.create_map(F.lit("findings"), F.col("occurrence")))
@@ -75,8 +102,22 @@ def chronology_of(found: DataFrame) -> DataFrame:
     return chronology.processed(rows.select("case_id", "seq", "date", "provider", "facility", "occurrence", "source"), ["case_id"])
 
 
-def run(toc: DataFrame, page_counts: DataFrame, pages: DataFrame, provider: Provider, options: Options = Options()) -> DataFrame:
-    """The chronology of every case, all cases at once."""
+def run(toc: DataFrame, page_counts: DataFrame, pages: DataFrame, provider: Provider, options: Options = Options(), images: DataFrame | None = None, vision: VisionProvider | None = None, formats: DataFrame | None = None) -> DataFrame:
+    """The chronology of every case, all cases at once.
+
+    Pages with text are read by ``provider``, scanned pages (case_id, page, image) by ``vision``. Where the
+    cases' ``formats`` are given, court files are read by their images alone and processed files by their
+    text alone.
+    """
     found = exhibits(toc, page_counts, options)
+    if formats is not None:
+        pages = routing.allowed(pages, formats, "text")
+        images = routing.allowed(images, formats, "vision") if images is not None else None
     rows = cut(page_rows(pages, found))
-    return chronology_of(cited(extracted(rows, provider, options), rows, options))
+    all_ = cited(extracted(rows, provider, options), rows, options)
+    if images is not None and vision is not None:
+        columns = ["case_id", "seq", "date", "provider", "facility", "occurrence", "source"]
+        # Entries of images follow those of text.
+        more = seen(image_batches(images, found, options), vision, options).withColumn("seq", F.col("seq") + F.lit(1 << 40))
+        all_ = all_.select(*columns).unionByName(more.select(*columns))
+    return chronology_of(all_)

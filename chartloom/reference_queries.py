@@ -9,9 +9,9 @@ from chartloom.functions import citations as cite
 from chartloom.functions import dates, text
 from chartloom.operators import chronology, chunks, citations, entries, longitudinal, occurrences, repair, segments
 from chartloom.plans import chronology as plan
-from chartloom.plans import report
 from chartloom.queries import query
 from chartloom.session import table
+from chartloom.sources import jobs
 from chartloom.sources.providers import RuleProvider
 from chartloom.streaming import events as stream_events
 
@@ -44,6 +44,12 @@ def resolved_sql(page: str) -> str:
         FROM {EVENTS} v LEFT JOIN {RANGES} r ON v.case_id = r.case_id AND {page} BETWEEN r.s AND r.e WHERE v.source_page IS NOT NULL GROUP BY v.event_id, {page}"""
 
 
+def _stamps_sql(c: str) -> str:
+    for p in text.COURT_STAMPS:
+        c = f"regexp_replace({c}, '(?i){p}', '', 'g')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
 # ---------------------------------------------------------------- bookmarks
 
 
@@ -106,14 +112,27 @@ def file_formats(spark: SparkSession, d: str) -> DataFrame:
     return segments.file_format(toc_rows(spark, d))
 
 
+_SCANNED = f"(event_id % 3 > 0 AND (length(trim(coalesce(source_text, ''), ' ' || chr(9) || chr(10) || chr(13))) <= 150 OR length({{stamps}}) < 100))"
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """Source texts as pages; two of three hold a large image."""
+    rows = event_rows(spark, d, "case_id", "source_text")
+    return rows.select("event_id", "case_id", segments.is_scanned(F.col("source_text"), F.col("event_id") % 3 > 0).alias("scanned"))
+
+
+@query(f"SELECT event_id, {_SCANNED.format(stamps=_stamps_sql("coalesce(source_text, '')"))} AS scanned FROM {EVENTS}")
+def page_scans(spark: SparkSession, d: str) -> DataFrame:
+    return page_images(spark, d).select("event_id", "scanned")
+
+
 @query(
-    """SELECT source, count(*) FILTER (WHERE n_chars <= 900) AS scanned_pages, count(*) AS sampled_pages, count(*) FILTER (WHERE n_chars <= 900) / count(*) AS scanned_ratio,
-        CASE WHEN count(*) FILTER (WHERE n_chars <= 900) / count(*) > 0.5 THEN 'vision' WHEN count(*) FILTER (WHERE n_chars <= 900) / count(*) > 0.1 THEN 'hybrid' ELSE 'text' END AS recommendation
-    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 20 GROUP BY source"""
+    f"""SELECT case_id, count(*) FILTER (WHERE scanned) AS scanned_pages, count(*) AS sampled_pages, count(*) FILTER (WHERE scanned) / count(*) AS scanned_ratio,
+        CASE WHEN count(*) FILTER (WHERE scanned) / count(*) > 0.5 THEN 'vision' WHEN count(*) FILTER (WHERE scanned) / count(*) > 0.1 THEN 'hybrid' ELSE 'text' END AS recommendation
+    FROM (SELECT case_id, {_SCANNED.format(stamps=_stamps_sql("coalesce(source_text, '')"))} AS scanned, row_number() OVER (PARTITION BY case_id ORDER BY event_id) AS n FROM {EVENTS}) WHERE n <= 20 GROUP BY case_id"""
 )
 def scan_density(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("source", "doc_id", (F.coalesce("n_chars", F.lit(100_000)) <= 900).alias("scanned"))
-    return segments.needs_vision(rows, "source", "scanned", "doc_id")
+    return segments.needs_vision(page_images(spark, d), "case_id", "scanned", "event_id")
 
 
 @query("SELECT source, n // 10 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS rows_in_batch FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY source, n // 10")
@@ -213,12 +232,12 @@ def header_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT case_id, exhibit_id, length(string_agg('[PAGE ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page))::INT AS combined_chars, count(*) AS pages
+    """SELECT case_id, exhibit_id, md5(string_agg('[PAGE ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page)) AS combined_md5, count(*) AS pages
     FROM (SELECT case_id, exhibit_id, text, row_number() OVER (PARTITION BY case_id, exhibit_id ORDER BY doc_id) AS page FROM documents WHERE case_id IS NOT NULL AND exhibit_id IS NOT NULL) WHERE text IS NOT NULL GROUP BY case_id, exhibit_id"""
 )
 def combined_text(spark: SparkSession, d: str) -> DataFrame:
     pages = exhibit_pages(spark, d).withColumn("confidence", F.lit(0.5))
-    return citations.combined_text(pages, ["case_id", "exhibit_id"]).select("case_id", "exhibit_id", F.length("combined_text").alias("combined_chars"), "pages")
+    return citations.combined_text(pages, ["case_id", "exhibit_id"]).select("case_id", "exhibit_id", F.md5("combined_text").alias("combined_md5"), "pages")
 
 
 @query(
@@ -335,10 +354,10 @@ _SOURCES = """SELECT {k}, CASE WHEN count(*) = 1 THEN max(s) WHEN count(ex) > 0
     s AS ({_SOURCES.format(k='case_id, date, provider, facility', into='source', rows='labs')}),
     g AS (SELECT seq, case_id, date, provider, occurrence, source FROM c WHERE NOT contains(lower(occurrence), '**test:**') UNION ALL SELECT seq, case_id, date, provider, occurrence, source FROM t JOIN s USING (case_id, date, provider, facility)),
     n AS (SELECT *, row_number() OVER (PARTITION BY case_id, date, provider, left(occurrence, 100), source ORDER BY seq) AS n FROM g)
-    SELECT case_id, date, seq, source, length(occurrence)::INT AS chars FROM n WHERE n = 1"""
+    SELECT case_id, date, seq, source, occurrence FROM n WHERE n = 1"""
 )
 def chronology_processed(spark: SparkSession, d: str) -> DataFrame:
-    return chronology.processed(chronology_rows(spark, d), ["case_id"]).select("case_id", "date", "seq", "source", F.length("occurrence").alias("chars"))
+    return chronology.processed(chronology_rows(spark, d), ["case_id"]).select("case_id", "date", "seq", "source", "occurrence")
 
 
 @query(f"WITH c AS ({_CHRON}) " + _SOURCES.format(k="case_id", into="combined_source", rows="c"))
@@ -417,26 +436,25 @@ def ssn_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace('Per ' || n_name || ' v. Region, ' || (n_nationkey + 10) || ' F 101 (1999) and 20 C.F.R. § 404.1520',
+    r"""SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace('Per ' || split_part(o_orderpriority, '-', 2) || ' v. ' || o_orderstatus || ' Region, ' || (o_orderkey % 900) || ' F 101 (1999), ' || (o_orderkey % 42) || ' USC § ' || (o_orderkey % 50) || '.2, and 20 C.F.R. § 404.' || o_custkey || '; 85 Fed. Reg. ' || o_orderkey,
         '(\w+(?:\s+\w+)*)\s+v\.\s+(\w+(?:\s+\w+)*),\s+(\d+)\s+(\w+(?:\s+\w+)*)\s+(\d+)\s+\((\d{4})\)', '<cite class="case-citation">\1 v. \2, \3 \4 \5 (\6)</cite>', 'gi'),
         '(\d+)\s+([A-Z]\.?[A-Z]\.?[A-Z]\.?)\s+§\s+(\d+(?:\.\d+)*)', '<cite class="statute-citation">\1 \2 § \3</cite>', 'gi'),
-        '(\d+)\s+C\.F\.R\.\s+§\s+(\d+(?:\.\d+)*)', '<cite class="cfr-citation">\1 C.F.R. § \2</cite>', 'gi') AS html FROM nation"""
+        '(\d+)\s+C\.F\.R\.\s+§\s+(\d+(?:\.\d+)*)', '<cite class="cfr-citation">\1 C.F.R. § \2</cite>', 'gi'),
+        '(\d+)\s+Fed\.\s+Reg\.\s+(\d+)', '<cite class="fed-reg-citation">\1 Fed. Reg. \2</cite>', 'gi') AS html FROM orders"""
 )
 def legal_citations(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("Per "), F.col("n_name"), F.lit(" v. Region, "), (F.col("n_nationkey") + 10).cast("string"), F.lit(" F 101 (1999) and 20 C.F.R. § 404.1520"))
-    return table(spark, d, "nation").select("n_nationkey", text.with_legal_citations(said).alias("html"))
-
-
-def _stamps_sql(c: str) -> str:
-    for p in text.COURT_STAMPS:
-        c = f"regexp_replace({c}, '(?i){p}', '', 'g')"
-    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    part = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    said = F.concat(
+        F.lit("Per "), F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), F.lit(" v. "), "o_orderstatus", F.lit(" Region, "), part(F.col("o_orderkey") % 900), F.lit(" F 101 (1999), "), part(F.col("o_orderkey") % 42), F.lit(" USC § "),
+        part(F.col("o_orderkey") % 50), F.lit(".2, and 20 C.F.R. § 404."), part("o_custkey"), F.lit("; 85 Fed. Reg. "), part("o_orderkey"),
+    )
+    return table(spark, d, "orders").select("o_orderkey", text.with_legal_citations(said).alias("html"))
 
 
-@query(f"SELECT event_id, length({_stamps_sql('source_text')})::INT AS chars FROM {EVENTS} WHERE source_text IS NOT NULL")
+@query(f"SELECT event_id, {_stamps_sql('source_text')} AS clean FROM {EVENTS} WHERE source_text IS NOT NULL")
 def court_stamps(spark: SparkSession, d: str) -> DataFrame:
     rows = event_rows(spark, d, "source_text").where("source_text IS NOT NULL")
-    return rows.select("event_id", F.length(text.without_court_stamps(F.col("source_text"))).alias("chars"))
+    return rows.select("event_id", text.without_court_stamps(F.col("source_text")).alias("clean"))
 
 
 # ---------------------------------------------------------------- model output
@@ -452,17 +470,18 @@ def response_entries(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH r AS (SELECT DISTINCT dde_id, result_json::JSON AS j FROM dde_results WHERE json_valid(result_json) AND json_type(result_json) = 'OBJECT'),
     f AS (SELECT dde_id, j, coalesce(j->'case_metadata'->>'claimant_name', j->>'claimant_name') AS claimant_name, coalesce(j->'case_metadata'->>'alleged_onset_date', j->>'alleged_onset_date') AS alleged_onset_date,
-        coalesce(j->'case_metadata'->>'age_category', j->>'age_category') AS age_category, coalesce(j->'case_metadata'->>'date_last_insured', j->>'date_last_insured') AS d4, coalesce(j->'case_metadata'->>'determination_decision', j->>'determination_decision') AS d5 FROM r)
-    SELECT dde_id, claimant_name, alleged_onset_date, age_category, round(((coalesce(claimant_name, '') <> '')::INT + (coalesce(alleged_onset_date, '') <> '')::INT + (coalesce(age_category, '') <> '')::INT + (coalesce(d4, '') <> '')::INT + (coalesce(d5, '') <> '')::INT) / 5, 9) AS confidence FROM f"""
+        coalesce(j->'case_metadata'->>'age_category', j->>'age_category') AS age_category FROM r)
+    SELECT dde_id, claimant_name, alleged_onset_date, age_category, round((((coalesce(j->'case_metadata'->>'claimant_name', '') <> '' OR coalesce(j->>'claimant_name', '') <> '')::INT) + ((coalesce(j->'case_metadata'->>'date_of_birth', '') <> '' OR coalesce(j->>'date_of_birth', '') <> '')::INT) + ((coalesce(j->'case_metadata'->>'claim_type', '') <> '' OR coalesce(j->>'claim_type', '') <> '')::INT) + ((coalesce(j->'case_metadata'->>'alleged_onset_date', '') <> '' OR coalesce(j->>'alleged_onset_date', '') <> '')::INT) + ((coalesce(j->'case_metadata'->>'protective_filing_date', '') <> '' OR coalesce(j->>'protective_filing_date', '') <> '')::INT)) / 5, 9) AS confidence FROM f"""
 )
 def dde_normalize(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "dde_results").select("dde_id", "result_json").distinct()
     return repair.normalized(rows, "dde_id", "result_json").select("dde_id", "claimant_name", "alleged_onset_date", "age_category", F.round("confidence", 9).alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(p_size::VARCHAR, '50') THEN 'Medium' WHEN contains(p_size::VARCHAR, '20') THEN 'Light' WHEN contains(p_size::VARCHAR, '10') THEN 'Sedentary' ELSE 'Unknown' END AS capacity FROM part")
+@query(f"SELECT event_id, CASE WHEN contains(lift, '50') THEN 'Medium' WHEN contains(lift, '20') THEN 'Light' WHEN contains(lift, '10') THEN 'Sedentary' ELSE 'Unknown' END AS capacity FROM (SELECT event_id, regexp_extract(description, 'lift (\\d+) pounds', 1) AS lift FROM {EVENTS} WHERE description IS NOT NULL)")
 def exertional_capacity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", repair.exertional_capacity(F.col("p_size").cast("string")).alias("capacity"))
+    rows = event_rows(spark, d, "description").where("description IS NOT NULL")
+    return rows.select("event_id", repair.exertional_capacity(F.regexp_extract("description", r"lift (\d+) pounds", 1)).alias("capacity"))
 
 
 @query()
@@ -531,11 +550,10 @@ def retry_delays(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(7).select(F.col("id").alias("attempt"), longitudinal.retry_delay(F.col("id")).alias("seconds"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey::VARCHAR AS job_id, o_orderdate AS created_at, (SELECT count(*) FROM orders) AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 50")
 def job_list(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-
-
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return jobs.listed(rows, "F", 50).select("job_id", "created_at", "total")
 
 
 # ---------------------------------------------------------------- windows and whole runs
@@ -567,31 +585,21 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_pages(events: DataFrame) -> DataFrame:
-    """(case_id, page, text): all distinct source texts of each page in the order of their letters."""
-    texts = events.where("source_page IS NOT NULL AND source_text IS NOT NULL").select("case_id", F.col("source_page").alias("page"), F.concat(F.lit("Seen on 01/15/2024. "), "source_text").alias("text"))
+    """(case_id, page, text): all distinct source texts of each page in the order of their letters, each behind its event's date, provider and place."""
+    named = lambda label, c: F.coalesce(F.concat(F.lit(f" | {label}: "), F.nullif(F.translate(c, "|\n", "  "), F.lit(""))), F.lit(""))
+    said = F.coalesce(F.concat(F.lit("Seen on "), F.nullif(dates.written(dates.parsed(F.col("date"))), F.lit("")), named("provider", "provider"), named("facility", "location"), F.lit(" | ")), F.lit(""))
+    texts = events.where("source_page IS NOT NULL AND source_text IS NOT NULL").select("case_id", F.col("source_page").alias("page"), F.concat(said, "source_text").alias("text"))
     return texts.groupBy("case_id", "page").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n\n").alias("text"))
 
 
 @query()
 def chronology_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole run over the bookmarks, with the source texts of a page's events as its text."""
-    pages = event_pages(event_rows(spark, d, "case_id", "source_page", "source_text"))
+    pages = event_pages(event_rows(spark, d, "case_id", "source_page", "source_text", "date", "provider", "location"))
     counts = table(spark, d, "claimants").groupBy("case_id").agg(F.max("total_document_pages").alias("total_pages"))
     return plan.run(toc_rows(spark, d).where("page_start IS NOT NULL"), counts, pages, RuleProvider(), plan.Options(calls_per_minute=None))
 
 
-@query(
-    f"""WITH n AS (SELECT case_id, 0 AS section, count(*) AS lines FROM (SELECT DISTINCT claimant_id, case_id FROM claimants) GROUP BY case_id UNION ALL SELECT case_id, 3, count(*) FROM {DX} GROUP BY case_id
-        UNION ALL SELECT case_id, 11, count(*) FROM ({_CHRON}) GROUP BY case_id)
-    SELECT c.case_id, s::INT AS section, coalesce(lines, 0)::INT AS lines FROM (SELECT DISTINCT case_id, unnest(range(12)) AS s FROM claimants) c LEFT JOIN n ON n.case_id = c.case_id AND n.section = c.s"""
-)
-def report_sections(spark: SparkSession, d: str) -> DataFrame:
-    claimants = table(spark, d, "claimants").select("claimant_id", "case_id", "full_name", "ssn", "date_of_birth", "bnc_code", "case_file_reference", "total_document_pages").distinct()
-    impairments = table(spark, d, "diagnoses").select("diagnosis_id", "case_id", "diagnosis", "icd_code", "first_diagnosed", "provider").distinct()
-    made = report.ReportBuilder(claimants).claimants(claimants).impairments(impairments).chronology(chronology_rows(spark, d))
-    return made.sections().select("case_id", "section", "lines")
-
-
 @query(
     f"""SELECT event_id, CASE WHEN coalesce(description, '') = '' THEN '**[Review Required]** Content could not be extracted.' ELSE '**General CE**<br>**History:** ' || CASE WHEN length(description) > 300 THEN left(description, 300) || '...' ELSE description END
         || '<br>**Physical Exam:** Gait: steady; ROM: full' END AS shown FROM {EVENTS}"""

@@ -31,6 +31,6 @@ def upserted(held: DataFrame, changes: DataFrame, now, hours: int = 24) -> DataF
 
 
 def listed(jobs: DataFrame, status: str | None = None, most: int = 50) -> DataFrame:
-    """The latest jobs, of one status if named. The limit is the feature: a page of a listing."""
+    """The latest jobs, of one status if named, and how many there are of any (total). The limit is the feature: a page of a listing."""
     rows = jobs.where(F.col("status") == status) if status else jobs
-    return rows.orderBy(F.desc("created_at"), "job_id").limit(most)
+    return rows.orderBy(F.desc("created_at"), "job_id").limit(most).withColumn("total", jobs.agg(F.count("*")).scalar())

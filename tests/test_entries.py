@@ -71,3 +71,17 @@ def test_occurrences_of_nested_visits(spark):
     assert got[1] == "**MSE:** calm<br>**Plan:** " + "z" * 150 + "..."
     assert got[2] == "**Test Name:** cbc"
     assert got[3] == got[4] == "**[Review Required]** Content extraction incomplete.<br>**Raw snippet:** raw text..."
+
+
+def test_occurrences_that_are_plain_text(spark):
+    rows = spark.createDataFrame([("office_visit", "  short text  "), ("office_visit", "a text of twenty signs"), ("", "a text of twenty signs"), ("office_visit", None)], "v STRING, t STRING")
+    none = F.lit(None).cast("map<string,string>")
+    assert [r[0] for r in rows.select(entries.is_sparse(F.col("v"), none, said=F.col("t"))).collect()] == [True, False, True, True]
+
+
+def test_consumed_with_one_hot_key(spark):
+    left = spark.createDataFrame([("k", i) for i in range(0, 900, 2)] + [("m", 1)], "k STRING, seq INT")
+    right = spark.createDataFrame([("k", i) for i in range(1, 601, 2)] + [("n", 1)], "k STRING, seq INT")
+    got = {(r.k, r.sparse_seq, r.retry_seq, r.outcome) for r in entries.consumed(left, right, ["k"]).collect()}
+    want = {("k", 2 * i, 2 * i + 1 if i < 300 else None, "filled" if i < 300 else "leftover") for i in range(450)} | {("m", 1, None, "leftover"), ("n", None, 1, "appended")}
+    assert got == want

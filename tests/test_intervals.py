@@ -29,8 +29,12 @@ def by_pages(rows):
     return out
 
 
-def swept(spark, rows, span=intervals.SPAN):
-    return {tuple(r) for r in intervals.sweep(spark.createDataFrame(rows, SCHEMA), "k", "a", "b", span).collect()}
+def swept(spark, rows, slices=4):
+    spark.conf.set("spark.sql.shuffle.partitions", str(slices))
+    try:
+        return {tuple(r) for r in intervals.sweep(spark.createDataFrame(rows, SCHEMA), "k", "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_overlaps_nests_touches_and_gaps(spark):
@@ -52,13 +56,13 @@ def test_other_columns_may_clash(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_hot_key_over_many_buckets(spark, seed):
+def test_hot_key_over_many_slices(spark, seed):
     rng = random.Random(seed)
     rows = [(rng.choice("xxxxyz"), s, s + rng.randrange(0, 6)) for s in (rng.randrange(1, 900) for _ in range(150))]
-    assert swept(spark, rows, span=16) == by_pages(rows)
+    assert swept(spark, rows, slices=40) == by_pages(rows)
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("xy"), st.integers(-5, 30), st.integers(-5, 30)), max_size=12))
 def test_against_pages(spark, rows):
-    assert swept(spark, rows, span=4) == by_pages(rows)
+    assert swept(spark, rows, slices=7) == by_pages(rows)

@@ -60,6 +60,8 @@ def test_order_of_input_does_not_matter(spark, sf):
 
 
 def test_pages_hold_the_texts_of_all_their_events(spark):
-    rows = [("c", 1, "b knee"), ("c", 1, "a back"), ("c", 1, "a back"), ("c", 2, "d"), ("c", 3, None), ("c", None, "e")]
-    got = {r.page: r.text for r in reference_queries.event_pages(spark.createDataFrame(rows, "case_id STRING, source_page INT, source_text STRING")).collect()}
+    rows = [(*r, None, None, None) for r in (("c", 1, "b knee"), ("c", 1, "a back"), ("c", 1, "a back"), ("c", 2, "d"), ("c", 3, None), ("c", None, "e"))]
+    rows.append(("c", 4, "f", "2024-01-05", "Dr. A|B", "Clinic"))
+    got = {r.page: r.text for r in reference_queries.event_pages(spark.createDataFrame(rows, "case_id STRING, source_page INT, source_text STRING, date STRING, provider STRING, location STRING")).collect()}
+    assert got.pop(4) == "Seen on 01/05/2024 | provider: Dr. A B | facility: Clinic | f"
     assert set(got) == {1, 2} and got[1].index("a back") < got[1].index("b knee") and got[1].count("a back") == 1

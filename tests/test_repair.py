@@ -28,11 +28,34 @@ def test_salvage(text, dates):
     assert bool(found) == bool(dates)
 
 
+@pytest.mark.parametrize(("text", "value"), [
+    ('{"a": 1, "b": [1, {"c": "x, y", "d', {"a": 1, "b": [1, {"c": "x, y"}]}), ('{"a": {"b": 1}, "c": ', {"a": {"b": 1}}), ('{"a": 1,, "b": 2}', {"a": 1}), ('[{"a": tru', [{}]), ("", None), ("{", {}), ("nothing", None),
+    ("[" + ", ".join(f'{{"n": {i}}}' for i in range(3_000)) + ", {\"n\": bad}, {}]", [{"n": i} for i in range(3_000)] + [{}]),
+])
+def test_mended(text, value):
+    assert repair.mended(text) == value
+
+
+@pytest.mark.parametrize(("answer", "value"), [
+    ('{"a": 1}', {"a": 1}), ('Here:\n```json\n{"a": 1}\n```\nDone {x}', {"a": 1}), ('```\n{"a": 1}', {"a": 1}), ('So {"a": 1} it is', {"a": 1}), ('{"a": [{"b": 1}, {"b": 2', {"a": [{"b": 1}, {"b": 2}]}), ("[1]", {}), (None, {}), ("", {}), ("none", {}),
+])
+def test_determination(answer, value):
+    assert repair.determination(answer) == value
+
+
+def test_determination_rows(spark):
+    rows = [(1, '{"a": 1}'), (2, 'is {"a": 2} so'), (3, None), (4, "x"), (4, "x")]
+    got = repair.determinations(spark.createDataFrame(rows, "id INT, j STRING"), "id", "j").collect()
+    assert sorted((r.id, json.loads(r.j).get("a")) for r in got if r.id < 4) == [(1, 1), (2, 2), (3, None)] and len(got) == 5
+
+
 def test_determinations(spark):
     nested = json.dumps({"case_metadata": {"claimant_name": "n", "alleged_onset_date": "d"}, "raw_fields": {"medical_impairments": [{}, {}]}})
     rows = [(1, nested), (2, json.dumps({"claimant_name": "m", "medical_impairments": {"a": 1}})), (3, "{cut"), (4, None), (5, "[]")]
     got = {r.id: r for r in repair.normalized(spark.createDataFrame(rows, "id INT, j STRING"), "id", "j").collect()}
     assert {i: (r.claimant_name, r.nested, r.impairments, round(r.confidence, 1)) for i, r in got.items()} == {1: ("n", True, 2, 0.4), 2: ("m", False, 1, 0.2)}
+    both = spark.createDataFrame([(1, json.dumps({"date_of_birth": "", "case_metadata": {"date_of_birth": "x", "claim_type": "", "protective_filing_date": 0}, "claim_type": "y"}))], "id INT, j STRING")
+    assert repair.normalized(both, "id", "j").first().confidence == 0.4
     lifts = spark.createDataFrame([("50 pounds",), ('{"max": 20}',), ("10",), ("x",), (None,)], "l STRING")
     assert [r[0] for r in lifts.select(repair.exertional_capacity(F.col("l"))).collect()] == ["Medium", "Light", "Sedentary", "Unknown", "Unknown"]
 

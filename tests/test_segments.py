@@ -37,3 +37,20 @@ def test_scans_and_batches(spark):
     assert [r[0] for r in df.select(segments.is_scanned(F.col("t"), F.col("big"))).collect()] == [True, False, True, False, True]
     rows = segments.batches(spark.createDataFrame([("a", i) for i in range(25)], "k STRING, n INT"), ["k"], "n").orderBy("batch").collect()
     assert [(r.first, r.last, r.rows_in_batch) for r in rows] == [(0, 9, 10), (10, 19, 10), (20, 24, 5)]
+
+
+def test_end_pages_at_any_depth(spark):
+    rows = [("c", i, level, "x", 10 * i, 500) for i, level in enumerate((1, 7, 9, 9, 7, 12, 2, 1), 1)]
+    got = {r.ord: r.page_end for r in segments.end_pages(spark.createDataFrame(rows, TOC)).collect()}
+    assert got == {1: 79, 2: 49, 3: 39, 4: 49, 5: 69, 6: 69, 7: 79, 8: 500}
+    assert segments.end_pages(spark.createDataFrame([], TOC)).count() == 0
+
+
+def test_determination_titles(spark):
+    rows = spark.createDataFrame([(t,) for t in ("1A: Rfc Assessment", "PRTF", "Form 4734SUP", "State agency opinion", "Initial determination", "Office Visit", None)], "t STRING")
+    assert [r[0] for r in rows.select(segments.is_dde(F.col("t"))).collect()] == [True, True, True, True, False, False, False]
+
+
+def test_medical_exhibits_by_id_or_text(spark):
+    rows = spark.createDataFrame([("", "1f"), ("", "F:2"), ("", "3F@4"), ("The Patient said", "1A"), ("nothing", "1A"), (None, None)], "t STRING, e STRING")
+    assert [r[0] for r in rows.select(segments.is_medical_exhibit(F.col("t"), F.col("e"))).collect()] == [True, True, True, True, False, False]

@@ -102,9 +102,87 @@ def test_report(spark, tmp_path):
     made = report.ReportBuilder(people).claimants(people).chronology(seen)
     text = {r.case_id: r.report for r in made.markdown().collect()}
     assert text["c"].index("first") < text["c"].index("early") < text["c"].index("late")
-    assert "| A\\|B | XXX-XX-6789 |  | N/A | r | 3 |" in text["c"] and "| 01/02/1970 |" in text["d"]
-    assert "| No medical events documented | N/A | N/A | N/A | N/A |" in text["d"] and text["c"].count("## SECTION") == 12
+    assert "| **Full Name** | A\\|B | **SSN** | XXX-XX-6789 |\n| **Date of Birth** |  | **BNC Code** | N/A |\n| **Case File Reference** | r | **Total Document Pages** | 3 |" in text["c"] and "| **Date of Birth** | 01/02/1970 |" in text["d"]
+    assert "| N/A | No medical events documented | N/A | N/A | N/A |" in text["d"] and text["c"].count("## SECTION") == 12
     assert len(json.loads(made.json().first().report)["sections"]) == 12
     report.write_reports(made.markdown(), str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).select("case_id").distinct().count() == 2
     assert report.ReportBuilder(people).sections().where("lines > 0").count() == 0
+    report.write_lines(made.lines(), str(tmp_path / "l"))
+    kept = "".join(p.read_text() for p in sorted((tmp_path / "l" / "case_id=c").glob("part-*")))
+    assert kept == "\n".join(r.markdown for r in made.sections().where("case_id = 'c'").orderBy("section").collect()) + "\n"
+
+
+def test_administrative_section_and_lists(spark):
+    from chartloom.plans import report
+
+    people = spark.createDataFrame([("c",), ("d",)], "case_id STRING")
+    dates_ = spark.createDataFrame([("c", "DIB", None, None, None, None, None, None)], "case_id STRING, claim_type STRING, protective_filing_date DATE, alleged_onset_date DATE, date_last_insured DATE, initial_denial_date DATE, reconsideration_denial_date DATE, alj_hearing_date DATE")
+    gaps = spark.createDataFrame([("c", 1, None, "2019"), ("c", 2, "No records", ""), ("x", 3, "of no case asked for", "")], "case_id STRING, n INT, gap_description STRING, time_period STRING")
+    got = {(r.case_id, r.section): r.markdown for r in report.ReportBuilder(people).administrative(dates_).gaps(gaps, "n").sections().collect()}
+    assert len(got) == 24 and got["c", 1].splitlines()[-4:] == [
+        "| **Claim Type** | DIB | **Initial Denial** | N/A |", "| **Protective Filing Date (PFD)** | N/A | **Reconsideration Denial** | N/A |",
+        "| **Alleged Onset Date (AOD)** | N/A | **ALJ Hearing Date** | N/A |", "| **Date Last Insured (DLI)** | N/A |  |  |",
+    ]
+    assert got["c", 10].splitlines()[-2:] == ["- Unknown gap (2019)", "- No records"] and got["d", 10].endswith("No significant gaps in medical evidence identified.")
+
+
+def test_errors_worth_repeating():
+    def raised(kind, said="", response=None):
+        error = type(kind, (Exception,), {})(said)
+        if response is not None:
+            error.response = response
+        return providers.worth_repeating(error)
+
+    assert raised("InternalServerException") and raised("ReadTimeoutError") and raised("X", "Rate limit exceeded") and raised("X", "no Capacity left")
+    assert raised("ClientError", "x", {"Error": {"Code": "ThrottlingException"}}) and raised("X", "Too Many Requests")
+    # Parts of other words, and errors that stay, aren't.
+    assert not raised("ValueError", "cannot generate beyond the limitation") and not raised("ClientError", "x", {"Error": {"Code": "AccessDenied"}}) and not raised("X", "", {}) and not raised("X", "temporary")
+
+
+def eyes():
+    """Reads an entry from each batch, with the size of its images; fails on images that begin with 0."""
+
+    class Eyes:
+        def generate_with_vision(self, prompt, images):
+            if any(x[:1] == b"0" for x in images):
+                raise ValueError("no")
+            return json.dumps([{"date": "03/01/2024", "provider": f"{len(images)} images", "occurrence_treatment": {"findings": prompt[-60:]}}])
+
+    return Eyes()
+
+
+def test_scanned_pages_are_read_in_batches(spark):
+    toc = spark.createDataFrame([("c", 1, 2, "1F - Notes", 1), ("c", 2, 2, "2F - More", 13), ("t", 1, 1, "Certification", 1), ("t", 2, 2, "1F - x", 2), ("p", 1, 1, "Table of Contents", 1), ("p", 2, 2, "1F - x", 2)], "case_id STRING, ord INT, level INT, title STRING, page_start INT")
+    counts = spark.createDataFrame([("c", 20), ("t", 9), ("p", 9)], "case_id STRING, total_pages INT")
+    images = spark.createDataFrame([("c", p, b"1") for p in range(1, 13)] + [("c", 14, b"1"), ("c", 15, None), ("c", 17, b"0"), ("t", 3, b"1"), ("p", 3, b"1"), ("x", 1, b"1")], "case_id STRING, page INT, image BINARY")
+    text = spark.createDataFrame([("c", 20, "Seen 01/15/2024 for pain."), ("t", 4, "Seen 01/15/2024 for pain."), ("p", 4, "Seen 01/15/2024 for pain.")], "case_id STRING, page INT, text STRING")
+    from chartloom.operators import segments
+
+    args = (toc, counts, text, providers.RuleProvider(), plan.Options(calls_per_minute=None), images, eyes())
+    got = {(r.case_id, r.provider, r.source) for r in plan.run(*args, formats=segments.file_format(toc)).collect()}
+    # The batch with a broken image costs no other: 14 and 17 are one batch. Court files are read by images, processed ones by text.
+    assert got == {("c", "10 images", "1F@1-10 (pp.1-10)"), ("c", "2 images", "1F@11-12 (pp.11-12)"), ("c", "Not Specified", "2F@8 (p.20)"), ("t", "1 images", "1F@2 (p.3)"), ("p", "Not Specified", "1F@3 (p.4)")}
+    assert plan.run(*args).where("case_id = 't'").count() == 2
+
+
+def test_determinations_of_cases(spark):
+    from chartloom.plans import determination
+
+    class Reader:
+        def generate(self, prompt):
+            if "fail" in prompt:
+                raise ValueError("no")
+            return '```json\n{"claimant_name": "' + prompt.split()[-1] + '", "claim_type": "DIB", "x": [1, 2'
+
+        def generate_with_vision(self, prompt, images):
+            return json.dumps({"case_metadata": {"claimant_name": f"{len(images)} seen"}})
+
+    toc = spark.createDataFrame([(c, 1, "1A - DDE", 1, 3) for c in "abcd"] + [(c, 2, "2A - RFC Assessment", 4, 6) for c in "abcd"] + [("e", 1, "1F - DDE", 1, 2)], "case_id STRING, ord INT, title STRING, page_start INT, page_end INT")
+    pages = spark.createDataFrame([("a", 1, "old", None), ("a", 4, "by", None), ("a", 5, "Ann", None), ("b", 4, "dropped", None), ("b", 5, None, b"i"), ("b", 6, "", b"i"), ("c", 4, " ", None), ("d", 4, "fail", None), ("e", 1, "x", None)], "case_id STRING, page INT, text STRING, image BINARY")
+    got = {r.case_id: (r.extraction_mode, json.loads(r.fields), r.confidence, r.error) for r in determination.parsed(toc, pages, Reader(), Reader(), None).collect()}
+    assert got == {"a": ("text", {"claimant_name": "Ann", "claim_type": "DIB", "x": [1, 2]}, 0.4, None), "b": ("vision", {"case_metadata": {"claimant_name": "2 seen"}}, 0.2, None), "c": ("text", {}, 0.0, "No text extracted"), "d": ("text", {}, 0.0, "ValueError: no")}
+
+
+def test_prompts():
+    assert providers.filled('{a} {"date": "{b}"} {c}', a=1, b="x") == '1 {"date": "x"} {c}'
