@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm import bpe
-from chartloom.operators.prefix import running_totals
+from chartloom.operators.prefix import SLICE, running, sliced
 from chartloom.session import cut
 
 #: Blocks that a mix is scheduled in. The schedule has this many entries and one a source more at most.
@@ -110,8 +110,9 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, text: str, source: s
 
     ends = spark.createDataFrame([(s.name, s.size, s.quota) for s in plan], "_name STRING, _size BIGINT, _quota DOUBLE")
     slots = spark.createDataFrame([(name, k, slot) for slot, (name, k) in enumerate(schedule(counts))], "_name STRING, _block BIGINT, slot BIGINT")
-    mixed_up = rows.where("_tokens > 0").withColumn("_hash", F.xxhash64(F.lit(seed), "_key")).withColumn("_order", F.struct("_hash", "_key"))
-    placed = running_totals(mixed_up, ["_of"], "_order", F.shiftright("_hash", 52), {"_end": "_tokens"})
+    mixed_up = rows.where("_tokens > 0").withColumn("_hash", F.xxhash64(F.lit(seed), "_key"))
+    order = ["_hash", "_key"]
+    placed = running(sliced(mixed_up, ["_of"], order), ["_of"], order, {"_end": ("sum", "_tokens")}).drop(SLICE)
     # Use p starts at p * size + end - tokens; its middle must lie within the quota.
     uses = F.ceil((F.col("_quota") - F.col("_end") + F.col("_tokens") / 2) / F.col("_size"))
     used = (
