@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.operators.small import if_small
+
 EMITTED = "record_id {id}, tag STRING, pk STRING, parent_tag STRING, parent_pk STRING, position INT, parent_position INT, payload STRING"
 
 
-#: Tag of the records themselves.
-ROOT = "record"
+#: Tag of the records themselves, and of those that couldn't be read as they nest too deep.
+ROOT, UNREAD = "record", "unread"
 
 
 def _clean(name: str) -> str:
@@ -27,12 +29,12 @@ def _refuse(name: str) -> float:
 
 
 def parsed(text: str | None) -> dict | None:
-    """The object that a text holds; None where it isn't one valid JSON object."""
+    """The object that a text holds; None where it isn't one valid JSON object. One that nests too deep for the parser raises."""
     if not text:
         return None
     try:
         value = json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
@@ -76,50 +78,62 @@ def visit(record: str, root: dict, lists: frozenset[str], texts: frozenset[str])
 def emit(df: DataFrame, record_id: str, column: str, lists: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> DataFrame:
     """One tagged row for each object of each record: record_id, tag, keys, positions and payload.
 
-    The record itself has the tag ``record`` and its id as key. Texts that are null, empty, truncated,
-    nested deeper than the parser's stack, or any JSON but an object give no rows; so do rows without
-    a record id. Arrays without objects, empty ones too, stay in their owner's payload. A record delivered again gives
-    the same rows, which count once. Other columns of any name are ignored.
+    The record itself has the tag ``record`` and its id as key. Texts that are null, empty, truncated or
+    any JSON but an object give no rows; so do rows without a record id. A record that nests deeper than
+    the parser's stack, a thousand levels at least, gives one row tagged ``unread``. Arrays without
+    objects, empty ones too, stay in their owner's payload. A record delivered again gives
+    the same rows, which count once: see ``once``. Other columns of any name are ignored.
     """
     kind = df.schema[record_id].dataType
     schema = T._parse_datatype_string(EMITTED.format(id=kind.simpleString()))
     arrow = pa.schema([("tag", pa.string()), ("pk", pa.string()), ("parent_tag", pa.string()), ("parent_pk", pa.string()), ("position", pa.int32()), ("parent_position", pa.int32()), ("payload", pa.string())])
     list_paths, text_paths = frozenset(lists), frozenset(texts)
 
+    def rows_of(record: str, text: str) -> list[tuple]:
+        try:
+            root = parsed(text)
+            return list(visit(record, root, list_paths, text_paths)) if root is not None else []
+        except RecursionError:
+            return [(UNREAD, record, None, None, 0, None, None)] if text.lstrip().startswith("{") else []
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for record, text in zip(batch.column(0), batch.column(1)):
-                root = parsed(text.as_py())
-                if root is None:
-                    continue
-                try:
-                    found = list(visit(str(record.as_py()), root, list_paths, text_paths))
-                except RecursionError:
-                    continue
-                ids += [record] * len(found)
+            at, rows = [], []
+            for i, (record, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                found = rows_of(str(record), text)
+                at += [i] * len(found)
                 rows += found
                 if len(rows) >= 20_000:
-                    yield packed(ids, rows, batch.column(0).type)
-                    ids, rows = [], []
-            yield packed(ids, rows, batch.column(0).type)
+                    yield packed(batch.column(0), at, rows)
+                    at, rows = [], []
+            yield packed(batch.column(0), at, rows)
 
-    def packed(ids: list, rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    def packed(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[] for _ in arrow]
-        arrays = [pa.array([x.as_py() for x in ids], id_type)] + [pa.array(c, f.type) for c, f in zip(columns, arrow)]
+        arrays = [ids.take(pa.array(at, pa.int64()))] + [pa.array(c, f.type) for c, f in zip(columns, arrow)]
         return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     source = df.select(F.col(f"`{record_id}`").alias("_id"), F.col(f"`{column}`").alias("_text")).where("_id IS NOT NULL AND _text LIKE '%{%'")
     return source.mapInArrow(walk, schema)
 
 
+def emit_once(df: DataFrame, record_id: str, column: str, lists: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> DataFrame:
+    """``emit`` for a table in which records may be delivered again. Only the rows of ids that repeat are shuffled."""
+    rows = df.select(F.col(f"`{record_id}`").alias("_id"), F.col(f"`{column}`").alias("_text"))
+    again = if_small(rows.groupBy(F.col("_id").alias("_again")).count().where("count > 1").select("_again"), 1_000_000)
+    single = rows.join(again, F.col("_id") == F.col("_again"), "left_anti")
+    several = rows.join(again, F.col("_id") == F.col("_again"), "left_semi").distinct()
+    return emit(single, "_id", "_text", lists, texts).unionByName(once(emit(several, "_id", "_text", lists, texts)))
+
+
 def once(emitted: DataFrame) -> DataFrame:
     """Drops what records delivered again emitted again."""
     return emitted.dropDuplicates(["tag", "pk"])
 
 
 def table_of(emitted: DataFrame, tag: str, payload: str) -> DataFrame:
-    """The flat table of a tag: keys, positions and the payload's columns by the DDL ``payload``."""
+    """The flat table of a tag: keys, positions and the payload's columns by the DDL ``payload``. Of tables written by
+    ``write_tables`` only that tag's folder is read."""
     rows = emitted.where(F.col("tag") == tag)
     return rows.select("record_id", "pk", "parent_pk", "position", "parent_position", F.from_json("payload", payload).alias("_p")).select(
         "record_id", "pk", "parent_pk", "position", "parent_position", "_p.*"

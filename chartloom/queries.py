@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.operators import flatten, intervals
-from chartloom.session import table
+from chartloom.session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,10 @@ DDE_LISTS = tuple(f"{s}.{p}" for s, (p, _, _) in SECTIONS.items()) + tuple(f"{s}
 
 
 def dde_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.once(flatten.emit(table(spark, sf_dir, "dde_results"), "dde_id", "result_json", DDE_LISTS, ("raw_fields",)))
+    """The tables of all results, written to the shared folder by tag."""
+    path = shared_folder(spark, "dde_tables")
+    flatten.write_tables(flatten.emit_once(table(spark, sf_dir, "dde_results"), "dde_id", "result_json", DDE_LISTS, ("raw_fields",)), path)
+    return spark.read.schema(f"{flatten.EMITTED.format(id='BIGINT')}").parquet(path)
 
 
 _P5_SECTION = """
@@ -77,13 +80,15 @@ _P5_SECTION = """
     """
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = lambda s, p, c: F.col("tag") == f"{s}.{p}.{c}"
-    section, label = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for s, (p, c, name) in SECTIONS.items():
-        section = F.when(tag(s, p, c), s).otherwise(section)
-        label = F.when(tag(s, p, c), F.get_json_object("payload", f"$.{name}")).otherwise(label)
-    return (
-        dde_tables(spark, sf_dir)
-        .select(F.col("record_id").alias("dde_id"), section.alias("section"), F.col("parent_position").alias("parent_no"), F.col("position").alias("child_no"), label.alias("label"))
-        .where("section IS NOT NULL")
-    )
+    tables, found = dde_tables(spark, sf_dir), None
+    for section, (parents, children, label) in SECTIONS.items():
+        rows = flatten.table_of(tables, f"{section}.{parents}.{children}", f"`{label}` STRING")
+        part = rows.select(F.col("record_id").alias("dde_id"), F.lit(section).alias("section"), F.col("parent_position").alias("parent_no"), F.col("position").alias("child_no"), F.col(label).alias("label"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query()
+def p5_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by tag, the records too deep to be read among them."""
+    return dde_tables(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("rows"))

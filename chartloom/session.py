@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +25,7 @@ def local_session(cores: int | str = 8, app: str = "chartloom", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -53,7 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_ready(spark: SparkSession) -> None:
-    """Uses the shared folder of spark.checkpoint.dir. Only where it is unset, as in tests, one is made."""
+    """Uses the shared folder of spark.checkpoint.dir. Only where it is unset, as in tests, one is made, which ends with the program."""
     if spark.sparkContext.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,10 +65,20 @@ def _checkpoint_ready(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"chartloom-checkpoint-{os.getpid()}")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder, so a lost executor costs nothing."""
+    """Reliable checkpoint: the rows are written to the shared folder, so a lost executor costs nothing.
+
+    A session with spark.cleaner.referenceTracking.cleanCheckpoints removes what is no longer referred to; local_session sets it.
+    """
     _checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table that is written and read again."""
+    _checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

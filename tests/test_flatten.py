@@ -47,3 +47,18 @@ def test_empty_table_and_clashing_names(spark):
     assert emitted(spark, []).count() == 0
     df = spark.createDataFrame([(1, '{"a": 1}', "t", "p")], "id INT, j STRING, tag STRING, _id STRING")
     assert flatten.emit(df, "id", "j").select("record_id", "tag").first() == (1, flatten.ROOT)
+
+
+def test_records_too_deep_are_reported(spark):
+    deep = '{"a": ' * 200_000 + "1" + "}" * 200_000
+    rows = [(1, '{"x": [{"y": 1}]}'), (2, deep), (3, "{cut"), (4, '{"m": ' + json.dumps(deep) + "}")]
+    got = {(r.record_id, r.tag) for r in flatten.emit(spark.createDataFrame(rows, "id BIGINT, j STRING"), "id", "j", (), ("m",)).collect()}
+    assert got == {(1, "record"), (1, "x"), (2, flatten.UNREAD), (4, flatten.UNREAD)}
+
+
+def test_records_delivered_again(spark):
+    rows = [(1, '{"x": [{"y": 1}]}'), (1, '{"x": [{"y": 1}]}'), (2, '{"x": [{"y": 2}]}'), (3, None), (3, '{"x": [{"y": 3}]}'), (None, '{"x": 1}'), (None, '{"x": 1}')]
+    df = spark.createDataFrame(rows, "id BIGINT, j STRING")
+    got = sorted((r.record_id, r.tag) for r in flatten.emit_once(df, "id", "j").collect())
+    assert got == [(i, t) for i in (1, 2, 3) for t in ("record", "x")]
+    assert flatten.emit_once(df.limit(0), "id", "j").count() == 0
