@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.operators.small import if_small
+from chartloom.operators.small import if_small, without_repeats
 
 #: What may end a piece, strongest first: blank line, line, sentence, clause, word, whole character.
 BOUNDARIES = (
@@ -48,7 +48,7 @@ def split(df: DataFrame, limits: DataFrame, key: str, profile: str, text: str, s
         F.coalesce(F.col("min_chunk_chars"), F.lit(1)).cast("int").alias("_min"),
     ).where("_profile IS NOT NULL AND _max > 1").dropDuplicates(["_profile"])
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{profile}`").alias("_p"), F.col(f"`{text}`").alias("_text"), F.col(f"`{start}`").cast("long").alias("_base")).where("_text <> ''")
-    joined = rows.dropDuplicates(["_key"]).join(if_small(bound), F.col("_p") == F.col("_profile"))
+    joined = without_repeats(rows, "_key").join(if_small(bound), F.col("_p") == F.col("_profile"))
     overlap = F.greatest(F.lit(0), F.least(F.col("_wanted"), F.floor(F.col("_max") / 2).cast("int")))
     sized = joined.withColumn("_overlap", overlap).withColumn("_core", F.col("_max") - F.col("_overlap"))
     least = F.least(F.greatest(F.col("_min"), F.col("_overlap"), F.lit(1)), F.col("_core"))

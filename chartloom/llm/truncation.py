@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.operators.small import without_repeats
 from chartloom.session import cut
 
 #: Occurrences from which a word or a run of words is known.
@@ -276,7 +277,7 @@ def truncated(df: DataFrame, key_: str, source: str, text: str) -> DataFrame:
     set_ = words.toArrow()  # no more rows than the filter has words, 4 million at most
     bits[set_["w"].to_numpy()] = set_["b"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)
-    counted = rows.where("_text <> ''").select("_hash", "_text").dropDuplicates(["_hash"]).select("_text").mapInArrow(lambda batches: _counted(batches, shared.value), "kind INT, key BIGINT, word STRING, n BIGINT, ends BIGINT, stops BIGINT")
+    counted = without_repeats(rows.where("_text <> ''").select("_hash", "_text"), "_hash").select("_text").mapInArrow(lambda batches: _counted(batches, shared.value), "kind INT, key BIGINT, word STRING, n BIGINT, ends BIGINT, stops BIGINT")
     counts = cut(counted.groupBy("kind", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("stops").alias("stops")))
 
     # Each run at a text's end: occurrences inside texts, how many of those end something, and texts that end there.
