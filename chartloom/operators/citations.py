@@ -17,19 +17,29 @@ STAMP = r"(?is)EXHIBIT\s*NO\.?\s*(\d+F).*?PAGE:?\s*(\d+)\s*(?:OF\s*(\d+))?"
 BATES = r"\b([A-Z]{2,5}\d{6,9})\b"
 TRANSCRIPT = r"(?i)Page\s+(\d+)(?:\s+of\s+(\d+))?"
 
-#: Pages that one range may span; a longer one is a fault of its bounds.
-LONGEST_RANGE = 1_000_000
+#: Pages of a range that are listed at a time.
+LISTED = 100_000
 
 
-def page_index(ranges: DataFrame, keys: list[str]) -> DataFrame:
+def page_index(ranges: DataFrame, keys: list[str], asked: DataFrame | None = None, *pages: str) -> DataFrame:
     """(keys, page, exhibit_id, relative_page) of every page of inclusive ranges (exhibit_id, start_page, end_page, ord).
 
     Where ranges overlap the last in order holds. Ranges without id or start, or reversed, are left out.
-    A lookup is then an equi-join, where a join on bounds would compare every page with every range.
+    A lookup is then an equi-join, where a join on bounds would compare every page with every range. Where the
+    rows to be looked up are given with their columns of pages, only pages from the least to the greatest that a key
+    asks for are listed, so that a range whose end is a slip of the pen costs no more than others.
     """
-    sound = ranges.where(f"exhibit_id <> '' AND start_page > 0 AND end_page >= start_page AND end_page - start_page < {LONGEST_RANGE}")
-    pages = sound.select(*keys, "exhibit_id", "start_page", "ord", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    return pages.groupBy(*keys, "page").agg(F.max(F.struct("ord", "exhibit_id", "start_page")).alias("r")).select(*keys, "page", "r.exhibit_id", (F.col("page") - F.col("r.start_page") + 1).alias("relative_page"))
+    sound = ranges.where("exhibit_id <> '' AND start_page > 0 AND end_page >= start_page").select(*keys, "exhibit_id", "start_page", "ord", F.col("start_page").cast("long").alias("_a"), F.col("end_page").cast("long").alias("_b"))
+    if asked is not None:
+        least, most = (f(*pages) if len(pages) > 1 else F.col(pages[0]) for f in (F.least, F.greatest))
+        bounds = asked.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(least).alias("_lo"), F.max(most).alias("_hi")).where("_lo IS NOT NULL")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_k{i}"))
+        sound = sound.join(bounds, same).withColumns({"_a": F.greatest("_a", "_lo"), "_b": F.least("_b", "_hi")}).where("_a <= _b")
+    begun = sound.select(*keys, "exhibit_id", "start_page", "ord", "_b", F.explode(F.sequence("_a", "_b", F.lit(LISTED).cast("long"))).alias("_a"))
+    listed = begun.select(*keys, "exhibit_id", "start_page", "ord", F.explode(F.sequence("_a", F.least(F.col("_b"), F.col("_a") + LISTED - 1))).alias("_p")).withColumn("page", F.col("_p").cast("int"))
+    return listed.groupBy(*keys, "page").agg(F.max(F.struct("ord", "exhibit_id", "start_page")).alias("r")).select(*keys, "page", "r.exhibit_id", (F.col("page") - F.col("r.start_page") + 1).alias("relative_page"))
 
 
 def resolve(rows: DataFrame, index: DataFrame, keys: list[str], page: str, prefix: str = "") -> DataFrame:

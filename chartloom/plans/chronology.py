@@ -36,7 +36,7 @@ def exhibits(toc: DataFrame, page_counts: DataFrame, options: Options = Options(
 
 def page_rows(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Pages (case_id, page, text) of exhibits, with what their headers say; blank pages are left out."""
-    index = citations.page_index(found.select("case_id", "exhibit_id", F.col("page_start").alias("start_page"), F.col("last_read").alias("end_page"), "ord"), ["case_id"])
+    index = citations.page_index(found.select("case_id", "exhibit_id", F.col("page_start").alias("start_page"), F.col("last_read").alias("end_page"), "ord"), ["case_id"], pages, "page")
     placed = pages.join(index, ["case_id", "page"]).where(F.trim("text") != "")
     header = citations.header(F.col("text"), F.col("page"), F.col("exhibit_id"), F.col("page") - F.col("relative_page") + 1, F.lit(None).cast("int"))
     return placed.withColumn("header", header).select("case_id", "exhibit_id", F.col("page").alias("absolute_page"), "relative_page", "text", F.when(F.col("header.detection_method") == "regex", F.col("header.confidence")).otherwise(0.0).alias("confidence"))
@@ -72,7 +72,7 @@ def cited(found: DataFrame, pages: DataFrame, options: Options = Options()) -> D
 
 def image_batches(images: DataFrame, found: DataFrame, options: Options = Options()) -> DataFrame:
     """Scanned pages (case_id, page, image) of exhibits in batches: exhibit_id (a key of case and exhibit), batch, pages, images and the exhibit's start."""
-    index = citations.page_index(found.select("case_id", "exhibit_id", F.col("page_start").alias("start_page"), F.col("last_read").alias("end_page"), "ord"), ["case_id"])
+    index = citations.page_index(found.select("case_id", "exhibit_id", F.col("page_start").alias("start_page"), F.col("last_read").alias("end_page"), "ord"), ["case_id"], images, "page")
     placed = images.where("image IS NOT NULL").select("case_id", "page", "image").join(index, ["case_id", "page"])
     at = numbered(placed.select("case_id", "exhibit_id", "page"), KEYS, ["page"]).withColumn("batch", F.floor((F.col("_n") - 1) / options.images_per_call)).drop("_n")
     # Only places are numbered; the images join their batch afterwards, a bounded number each.

@@ -146,7 +146,7 @@ def image_batches(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT event_id, CASE WHEN ex IS NULL THEN 'p.' || page ELSE 'Ex. ' || ex || '@' || rel || ' (p.' || page || ')' END AS citation FROM ({resolved_sql('v.source_page')})")
 def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
     rows = event_rows(spark, d, "case_id", "source_page").where("source_page IS NOT NULL")
-    found = citations.resolve(rows, citations.page_index(exhibit_ranges(spark, d), ["case_id"]), ["case_id"], "source_page")
+    found = citations.resolve(rows, citations.page_index(exhibit_ranges(spark, d), ["case_id"], rows, "source_page"), ["case_id"], "source_page")
     return found.select("event_id", cite.resolved(F.col("exhibit_id"), F.col("relative_page"), F.col("source_page")).alias("citation"))
 
 
@@ -156,7 +156,7 @@ def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
 )
 def citation_format_range(spark: SparkSession, d: str) -> DataFrame:
     rows = event_rows(spark, d, "case_id", "source_page").where("source_page IS NOT NULL").withColumn("end_page", F.col("source_page") + 3)
-    index = citations.page_index(exhibit_ranges(spark, d), ["case_id"])
+    index = citations.page_index(exhibit_ranges(spark, d), ["case_id"], rows, "source_page", "end_page")
     both = citations.resolve(citations.resolve(rows, index, ["case_id"], "source_page"), index, ["case_id"], "end_page", "end_")
     return both.select("event_id", cite.resolved_range(*map(F.col, ("exhibit_id", "relative_page", "source_page", "end_exhibit_id", "end_relative_page", "end_page"))).alias("citation"))
 
@@ -167,7 +167,7 @@ def citation_format_range(spark: SparkSession, d: str) -> DataFrame:
 )
 def citation_styles(spark: SparkSession, d: str) -> DataFrame:
     rows = event_rows(spark, d, "case_id", "source_page").where("source_page IS NOT NULL")
-    found = citations.resolve(rows, citations.page_index(exhibit_ranges(spark, d), ["case_id"]), ["case_id"], "source_page")
+    found = citations.resolve(rows, citations.page_index(exhibit_ranges(spark, d), ["case_id"], rows, "source_page"), ["case_id"], "source_page")
     none = F.lit(None).cast("int")
     style = lambda s: cite.citation(F.col("source_page"), F.col("exhibit_id"), F.col("relative_page"), none, none, F.lit(True), style=s).alias(f"{s}_style")
     return found.select("event_id", style("full"), style("exhibit"), style("absolute"))

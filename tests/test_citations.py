@@ -101,3 +101,12 @@ def test_combined_text(spark):
     rows = [("c", 2, "Second page", 0.51), ("c", 1, "First page", 0.9), ("d", 1847, "x", 0.5), ("d", 1848, None, 0.5)]
     got = {r.k: r.combined_text for r in citations.combined_text(spark.createDataFrame(rows, "k STRING, absolute_page INT, text STRING, confidence DOUBLE"), ["k"]).collect()}
     assert got == {"c": "First page\n\nSecond page", "d": "[PAGE 1847]\nx"}
+
+
+def test_ranges_of_any_length(spark):
+    ranges = spark.createDataFrame([("c", "1F", 1, 2_147_483_647, 1), ("c", "2F", 50, 60, 2), ("d", "3F", 5, 250_007, 1), ("e", "4F", 1, 9, 1), ("c", None, 1, 9, 3), ("c", "5F", 9, 1, 4)], "case_id STRING, exhibit_id STRING, start_page INT, end_page INT, ord INT")
+    rows = spark.createDataFrame([("c", 7), ("c", 55), ("c", 2_000_061), ("d", 250_007), ("d", 250_008), ("d", 5), ("e", None), ("x", 1)], "case_id STRING, page INT")
+    index = citations.page_index(ranges, ["case_id"], rows.where("case_id <> 'c' OR page < 100"), "page")
+    got = {(r.case_id, r.page): (r.exhibit_id, r.relative_page) for r in citations.resolve(rows, index, ["case_id"], "page").collect()}
+    assert got == {("c", 7): ("1F", 7), ("c", 55): ("2F", 6), ("c", 2_000_061): (None, None), ("d", 250_007): ("3F", 250_003), ("d", 250_008): (None, None), ("d", 5): ("3F", 1), ("e", None): (None, None), ("x", 1): (None, None)}
+    assert index.where("case_id = 'd'").count() == 250_003 and index.where("case_id = 'e'").count() == 0
